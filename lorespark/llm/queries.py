@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import distinctive, frequency, mixing, splitting, tokens
+from lorespark.llm import distinctive, frequency, mixing, neighbours, splitting, tokens
 from lorespark.session import materialise, table
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similar pairs of which one is among the five nearest of the other."""
+    return neighbours.similar_pairs(p4_nearest(spark, sf_dir)).select("vec_id_a", "vec_id_b")
+
+
+def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "vectors"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items that are cut: those with a first piece."""
     return p5_pieces(spark, sf_dir).filter("piece_no = 0").select("item_kind", F.col("item_id").cast("bigint").alias("item_id"))
@@ -66,5 +75,5 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = [p5_found, p5_pieces, p6_found, p6_ngrams, p6_entities, p7_found, p7_scores, p7_search, p8_ids, p9_mix, p9_shares]
+    names = [p4_found, p4_nearest, p5_found, p5_pieces, p6_found, p6_ngrams, p6_entities, p7_found, p7_scores, p7_search, p8_ids, p9_mix, p9_shares]
     return {f.__name__: f for f in names}

@@ -36,9 +36,17 @@ select @columns from (
          case when count(distinct entry) <= 2 then 'rare' when count(distinct entry) > (select records from total) * 0.1 then 'common' end as mark
   from terms where term != '' group by term)"""
 
+VALID = """valid as (select vec_id, v::double[] as v from vectors
+where dim = 64 and len(v) = 64 and len(list_filter(v, lambda x: x is not null and isfinite(x))) = 64
+  and len(list_filter(v, lambda x: x != 0)) > 0)"""
+_NEAR = f"""{VALID},
+pairs as (select a.vec_id, b.vec_id as near_id, round(list_cosine_similarity(a.v, b.v), 6) as cosine from valid a join valid b on a.vec_id <> b.vec_id),
+near as (select *, row_number() over (partition by vec_id order by cosine desc, near_id) as rank from pairs qualify rank <= 5)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_found": f"with {_NEAR} select distinct least(vec_id, near_id) as vec_id_a, greatest(vec_id, near_id) as vec_id_b from near where cosine >= 0.8",
         "p5_found": P5_ITEMS,
         "p6_found": "select * from (" + P6_TEXT.replace("@columns", "'text' as field, term, mark") + ") where mark is not null union all select * from (" + P6_ENTITIES.replace("@columns", "'entities' as field, term, mark") + ") where mark is not null",
         "p6_entities": P6_ENTITIES.replace("@columns", "term, occurrences, records, mark"),
