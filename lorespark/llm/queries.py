@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import distinctive, frequency, mixing, neighbours, splitting, tokens
+from lorespark.llm import clusters, distinctive, frequency, mixing, neighbours, splitting, tokens
 from lorespark.session import materialise, table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of groups of similar vectors, each with the first of its group."""
+    return p3_members(spark, sf_dir).filter("vec_id != first_vec_id").select("first_vec_id", "vec_id")
+
+
+def p3_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.grouped(table(spark, sf_dir, "vectors"))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.described(materialise(p3_members(spark, sf_dir)))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similar pairs of which one is among the five nearest of the other."""
     return neighbours.similar_pairs(p4_nearest(spark, sf_dir)).select("vec_id_a", "vec_id_b")
@@ -75,5 +88,5 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = [p4_found, p4_nearest, p5_found, p5_pieces, p6_found, p6_ngrams, p6_entities, p7_found, p7_scores, p7_search, p8_ids, p9_mix, p9_shares]
+    names = [p3_found, p3_members, p3_groups, p4_found, p4_nearest, p5_found, p5_pieces, p6_found, p6_ngrams, p6_entities, p7_found, p7_scores, p7_search, p8_ids, p9_mix, p9_shares]
     return {f.__name__: f for f in names}

@@ -46,6 +46,11 @@ near as (select *, row_number() over (partition by vec_id order by cosine desc,
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": f"""with recursive {VALID},
+links as materialized (select a.vec_id as a, b.vec_id as b from valid a join valid b on a.vec_id <> b.vec_id where list_cosine_similarity(a.v, b.v) >= 0.8),
+reach as (select distinct a as first_vec_id, a as vec_id from links where a not in (select a from links where b < a)
+          union select first_vec_id, b from reach join links on a = vec_id)
+select min(first_vec_id) as first_vec_id, vec_id from reach group by vec_id having min(first_vec_id) < vec_id""",
         "p4_found": f"with {_NEAR} select distinct least(vec_id, near_id) as vec_id_a, greatest(vec_id, near_id) as vec_id_b from near where cosine >= 0.8",
         "p5_found": P5_ITEMS,
         "p6_found": "select * from (" + P6_TEXT.replace("@columns", "'text' as field, term, mark") + ") where mark is not null union all select * from (" + P6_ENTITIES.replace("@columns", "'entities' as field, term, mark") + ") where mark is not null",
