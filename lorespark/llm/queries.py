@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import clusters, distinctive, frequency, mixing, neighbours, splitting, tokens
+from lorespark.llm import clusters, distinctive, frequency, linkage, mixing, neighbours, splitting, tokens
 from lorespark.session import materialise, table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats of notes, each with the earliest event of its note."""
+    return linkage.repeats(table(spark, sf_dir, "events_l0"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of groups of similar vectors, each with the first of its group."""
     return p3_members(spark, sf_dir).filter("vec_id != first_vec_id").select("first_vec_id", "vec_id")
@@ -88,5 +93,5 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = [p3_found, p3_members, p3_groups, p4_found, p4_nearest, p5_found, p5_pieces, p6_found, p6_ngrams, p6_entities, p7_found, p7_scores, p7_search, p8_ids, p9_mix, p9_shares]
+    names = [p2_found, p3_found, p3_members, p3_groups, p4_found, p4_nearest, p5_found, p5_pieces, p6_found, p6_ngrams, p6_entities, p7_found, p7_scores, p7_search, p8_ids, p9_mix, p9_shares]
     return {f.__name__: f for f in names}
