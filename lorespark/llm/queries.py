@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import clusters, distinctive, frequency, linkage, mixing, neighbours, splitting, tokens
+from lorespark.llm import clusters, distinctive, frequency, linkage, mixing, names, neighbours, splitting, tokens
 from lorespark.session import materialise, table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of strings that name the same person or organisation."""
+    return names.name_pairs(p1_names(spark, sf_dir))
+
+
+def p1_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.linked(names.all_names(table(spark, sf_dir, "extractions"), table(spark, sf_dir, "fact_edges")))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeats of notes, each with the earliest event of its note."""
     return linkage.repeats(table(spark, sf_dir, "events_l0"))
@@ -93,5 +102,5 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = [p2_found, p3_found, p3_members, p3_groups, p4_found, p4_nearest, p5_found, p5_pieces, p6_found, p6_ngrams, p6_entities, p7_found, p7_scores, p7_search, p8_ids, p9_mix, p9_shares]
-    return {f.__name__: f for f in names}
+    named = [p1_found, p1_names, p2_found, p3_found, p3_members, p3_groups, p4_found, p4_nearest, p5_found, p5_pieces, p6_found, p6_ngrams, p6_entities, p7_found, p7_scores, p7_search, p8_ids, p9_mix, p9_shares]
+    return {f.__name__: f for f in named}
