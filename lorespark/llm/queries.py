@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import clusters, distinctive, frequency, linkage, mixing, names, neighbours, splitting, tokens
+from lorespark.llm import abuse, clusters, distinctive, frequency, linkage, mixing, names, neighbours, splitting, tokens
 from lorespark.session import materialise, table
 
 
@@ -101,6 +101,23 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p9_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def _abuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with abusive, hateful or sexual content."""
+    return _abuse(spark, sf_dir).filter(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _abuse(spark, sf_dir)
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(_abuse(spark, sf_dir))
+
+
 def queries() -> dict:
-    named = [p1_found, p1_names, p2_found, p3_found, p3_members, p3_groups, p4_found, p4_nearest, p5_found, p5_pieces, p6_found, p6_ngrams, p6_entities, p7_found, p7_scores, p7_search, p8_ids, p9_mix, p9_shares]
+    named = [p1_found, p1_names, p2_found, p3_found, p3_members, p3_groups, p4_found, p4_nearest, p5_found, p5_pieces, p6_found, p6_ngrams, p6_entities, p7_found, p7_scores, p7_search, p8_ids, p9_mix, p9_shares, p10_found, p10_scores, p10_rates]
     return {f.__name__: f for f in named}
