@@ -23,7 +23,7 @@ from lorespark.session import materialise
 
 #: Rows of a shard; centroids for each shard, at most; sampled vectors for each centroid; how much
 #: less similar than its own a cell may be to be visited; centroids at least this similar are one cell.
-SHARD_ROWS, CELLS, MOST_CELLS, SAMPLE, MARGIN, SAME_CELL = 24576, 4, 2048, 128, 0.2, 0.6
+SHARD_ROWS, CELLS, MOST_CELLS, SAMPLE, MARGIN, SAME_CELL = 24576, 8, 2048, 128, 0.15, 0.6
 
 
 def valid_vectors(vectors: DataFrame, dim: int = 64) -> DataFrame:
@@ -85,6 +85,17 @@ class Shards:
     cell: np.ndarray
     of: dict[int, list[int]] = field(default_factory=dict)
     count: int = 1
+    labels: list[int] = field(default_factory=list)
+
+    def label(self, shard: int) -> int:
+        """A number for the shard that Spark hashes to a partition of its own among ``count``."""
+        if len(self.labels) != self.count:
+            free, number = {}, 0
+            while len(free) < self.count:
+                free.setdefault(_murmur(number) % self.count, number)
+                number += 1
+            self.labels = [free[i] for i in range(self.count)]
+        return self.labels[shard]
 
     def likeness(self, u: np.ndarray) -> np.ndarray:
         """Of each vector to each cell: to the nearest of its centroids."""
@@ -132,12 +143,14 @@ def plan_shards(heads: DataFrame, shard_rows: int = SHARD_ROWS) -> Shards:
     return shards
 
 
-def route(heads: DataFrame, shards: Shards, every_part: bool, margin: float = MARGIN) -> DataFrame:
+def route(heads: DataFrame, shards: Shards, every_part: bool, margin: float = MARGIN, keep: str = "rep") -> DataFrame:
     """(shard, rep, vec, home) of each vector in its own shard and in those it visits.
 
-    Of a cell spread over several shards it visits all if ``every_part``, else one.
+    Of a cell spread over several shards it visits all if ``every_part``, else one.  ``keep`` is a
+    column of ids that also comes out.
     """
     kind = dict(heads.dtypes)["rep"]
+    more = [] if keep == "rep" else [keep]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -152,11 +165,23 @@ def route(heads: DataFrame, shards: Shards, every_part: bool, margin: float = MA
                 for s in parts if every_part else parts and [mine]:
                     rows[i, s] = rows.get((i, s), False) or bool(c == own[i] and s == mine)
             place = np.fromiter((i for i, _ in rows), np.int64, len(rows))
-            yield pd.DataFrame({"shard": [s for _, s in rows], "rep": batch.rep.to_numpy()[place], "vec": batch.vec.to_numpy()[place], "home": list(rows.values())})
+            yield pd.DataFrame({"shard": [shards.label(s) for _, s in rows], "rep": batch.rep.to_numpy()[place], "vec": batch.vec.to_numpy()[place], "home": list(rows.values())} | {c: batch[c].to_numpy()[place] for c in more})
 
-    return heads.select("rep", "vec").mapInPandas(run, f"shard int, rep {kind}, vec binary, home boolean")
+    return heads.select("rep", "vec", *more).mapInPandas(run, ", ".join([f"shard int, rep {kind}, vec binary, home boolean", *(f"{c} {kind}" for c in more)]))
+
+
+def _murmur(value: int) -> int:
+    """Spark's hash of an int, by which rows are given to partitions."""
+    mask = 0xFFFFFFFF
+    turn = lambda x, n: (x << n | x >> 32 - n) & mask
+    k = turn((value & mask) * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask
+    h = (turn(42 ^ k, 13) * 5 + 0xE6546B64 & mask) ^ 4
+    h = (h ^ h >> 16) * 0x85EBCA6B & mask
+    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
 
 
 def spread(routed: DataFrame, shards: Shards) -> DataFrame:
-    """Each shard in a partition of its own, as far as hashing allows."""
-    return routed.repartition(max(1, shards.count), "shard") if shards.count > 1 else routed
+    """Each shard in a partition of its own: its label hashes to no other shard's partition."""
+    return routed.repartition(max(1, shards.count), "shard")
