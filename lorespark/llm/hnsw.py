@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-DEGREE, FIND, RATIO, TOP, BATCH = 24, 64, 16, 128, 2048
+DEGREE, FIND, RATIO, TOP, BATCH = 16, 48, 16, 128, 2048
 
 
 def _dots(vecs: np.ndarray, ids: np.ndarray, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
