@@ -52,6 +52,16 @@ _TOKEN = re.compile(r"[^\W_]+")
 _SPECIAL = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "æ": "ae", "œ": "oe", "ı": "i"})
 
 
+#: Letters that are spelled in two ways for one sound (fixed values).
+_SOUND = ((re.compile("sch"), "sh"), (re.compile("ck|c(?!h)"), "k"), (re.compile("ph"), "f"))
+
+
+def sound(word: str) -> str:
+    for pattern, plainer in _SOUND:
+        word = pattern.sub(plainer, word)
+    return word
+
+
 def plain(text: str) -> str:
     text = unicodedata.normalize("NFD", text.casefold())
     return "".join(c for c in text if unicodedata.category(c) not in ("Mn", "Cf")).translate(_SPECIAL)
@@ -119,7 +129,7 @@ def read(name: str, lexicon: frozenset[str] = frozenset()) -> tuple[str, str, st
     if not words or any(w.isdigit() for w in words) or len(words) > 8:
         return None
     if len(raw) == 2 and _letters(raw[1]) and len(words[0]) >= 4 and not _given(words[0], lexicon):
-        return "org", words[0], "acronym", ["".join(sorted(words[1]))]
+        return "org", sound(words[0]), "acronym", ["".join(sorted(words[1]))]
     # Organisations: words of a kind, or letters of one behind a name.
     body = [(w, r) for w, r in zip(words, raw) if w not in LEGAL]
     kinds = [_kind_word(w) if w in KINDS or w in SAME_KIND else None for w, _ in body]
@@ -132,7 +142,7 @@ def read(name: str, lexicon: frozenset[str] = frozenset()) -> tuple[str, str, st
         own = [w for k, (w, _) in zip(kinds, body) if not k]
         if own and len(own) <= 2 and len("".join(own)) >= 4:
             found = sorted({k for k in kinds if k})
-            return "org", "".join(own), "full" if len(found) > 1 else "part", [" ".join(found)]
+            return "org", sound("".join(own)), "full" if len(found) > 1 else "part", [" ".join(found)]
         return None
     return _person(words, raw, comma, lexicon)
 
@@ -152,7 +162,7 @@ def _person(words: list[str], raw: list[str], comma: list[str], lexicon: frozens
     if not words or words[0] == "the":
         return None
     if len(words) == 1:
-        return ("person", words[0], "title", []) if titled and len(words[0]) >= 4 and not _given(words[0], lexicon) else None
+        return ("person", sound(words[0]), "title", []) if titled and len(words[0]) >= 4 and not _given(words[0], lexicon) else None
     first, rest = words[0], words[1:]
     given = _given(first, lexicon)
     if not given and len(first) > 1:
@@ -161,7 +171,7 @@ def _person(words: list[str], raw: list[str], comma: list[str], lexicon: frozens
         if last and not dotted:  # the surname comes first without a comma
             first, rest, given = words[-1], words[:-1], last
     rest = [w for i, w in enumerate(rest) if len(w) > 1 or i == len(rest) - 1]  # middle initials
-    surname = "".join(rest)
+    surname = sound("".join(rest))
     if len(surname) < 4 or any(w in LEGAL for w in rest if len(w) > 1):
         return None
     if given:
