@@ -102,7 +102,7 @@ def best_lags(counts: DataFrame) -> DataFrame:
     return best.select("a", "b", "best.*")
 
 
-def temporal_leads(mentions: DataFrame, max_lag: int = MAX_LAG, tolerance: int = TOLERANCE) -> DataFrame:
+def temporal_leads(mentions: DataFrame, max_lag: int = MAX_LAG, tolerance: int = TOLERANCE, min_ratio: float = MIN_RATIO) -> DataFrame:
     """(a, b, lag, support, effect, p_value): b follows a about ``lag`` days later.
 
     The p-value is exact: b's days are shifted round the whole period, and every shift counts at
@@ -114,7 +114,7 @@ def temporal_leads(mentions: DataFrame, max_lag: int = MAX_LAG, tolerance: int =
     period = int((mentions.agg(F.max("day")).first()[0] or 0) + 1)
     full = F.col("selected") + F.col("held_out")
     sized = best.join(sizes.select(F.col("entity").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("entity").alias("b"), F.col("n").alias("nb")), "b")
-    good = sized.filter((full >= MIN_COUNT) & (full >= F.col("na") * MIN_RATIO) & (F.col("held_out") >= MIN_TEST))
+    good = sized.filter((full >= MIN_COUNT) & (full >= F.col("na") * min_ratio) & (F.col("held_out") >= MIN_TEST))
     held = series.filter("nth % 2 = 0").select(F.col("entity").alias("a"), "nth", "day")
     smear = series.select(F.col("entity").alias("b"), F.explode(F.array(*(F.pmod(F.col("day") + d, F.lit(period)) for d in range(-tolerance, tolerance + 1)))).alias("spot")).distinct()
     shifts = good.join(held, "a").join(smear, "b").select("a", "b", "held_out", "nth", F.pmod(F.col("spot") - F.col("day"), F.lit(period)).alias("shift"))
