@@ -24,7 +24,7 @@ from lorespark.llm.linkage import _LOOK
 #: a document counts as abusive.
 LABELLED, FEATURES, THRESHOLD = 20_000, 1 << 20, 0.5
 WINDOW, STEP = 12, 6
-_LEET = str.maketrans("0134578@$!|", "oleastbasil")
+_LEET = str.maketrans("0134578@$!|", "oieastbasil")
 _END = re.compile(r"[.!?…。！？]+(?=\s|$)|\n+|</?p>|<br/?>")
 _SPEAKER = re.compile(r"^\s*(?:[-*#>•]+\s+|\d+[.)]\s+|[^\W\d_]+:\s+)+")
 _SPELLED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_*·•~/|,]{1,2}[^\W_]){2,}(?![^\W_])")
@@ -98,6 +98,7 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 300, penalty: float
     weights = np.zeros(FEATURES + 1, np.float32)
     weights[-1] = -4.0
     if not flat or not (0 < labels.mean() < 1):
+        weights[-1] = -30.0  # nothing can be told apart
         return weights
     flat, sizes, doc = np.array(flat, np.int64), np.array(sizes), np.array(doc)
     start = np.r_[0, np.cumsum(sizes)[:-1]]

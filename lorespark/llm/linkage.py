@@ -28,8 +28,8 @@ from lorespark.session import scratch_path
 
 HOURS, SPAN = 48, 48 * 3600
 #: Numbers and words of a note that become blocking keys; the share of notes from which on a word
-#: is too common for that; notes and pairs looked at to learn common words and weights, at most.
-NUMBERS, WORDS, COMMON, LEARN_NOTES, LEARN_PAIRS = 6, 5, 0.02, 20_000, 20_000
+#: is too common for that; pairs that the weights are learned from, at most.
+NUMBERS, WORDS, COMMON, LEARN_PAIRS = 6, 5, 0.02, 20_000
 #: Letters that look like others (fixed values: lower-case Cyrillic and Greek to Latin).
 _LOOK = str.maketrans("авекмнорстухіјѕһԁԛԝαεικνορτυχ", "abekmhopctyxijshdqwaeiknoptux")
 #: Words that people put in without meaning anything (fixed values).
@@ -95,14 +95,14 @@ def compare(a: list[str], b: list[str], gap: float) -> tuple[tuple[int, ...], bo
     ca, cb = Counter(a), Counter(b)
     both = sum((ca & cb).values())
     share = both / max(1, min(len(a), len(b)))
-    if share < 0.34:
+    if share < 0.5:
         return (0, 0, 0, 0, 0, int(gap <= 7200), 0), False
     ra, rb = ca - cb, cb - ca
     na, nb = Counter({w: n for w, n in ra.items() if w[0].isdigit()}), Counter({w: n for w, n in rb.items() if w[0].isdigit()})
     # What one has more of: slips and short forms of the other's words, fillers, words said twice.
     wa = [w for w in ra.elements() if not w[0].isdigit()]
     wb = [w for w in rb.elements() if not w[0].isdigit()]
-    if len(wa) * len(wb) <= 40_000:
+    if not (na and nb) and len(wa) * len(wb) <= 40_000:
         for w in list(wa):
             for v in wb:
                 if near(w, v):
@@ -147,19 +147,21 @@ def _one_sided(whole: list[str], rest: list[str], other: list[str], numbers: Cou
 DEFAULT = {"bias": -6.0, "agree": [1.0, 2.0, 2.0, 2.0, 1.0, 1.0, 3.0], "differ": [-6.0, -3.0, -1.0, -3.0, -0.5, -0.5, -1.5]}
 
 
-def learn(vectors: np.ndarray, rounds: int = 60) -> dict:
+def learn(vectors: np.ndarray, times: np.ndarray, rounds: int = 60) -> dict:
     """Weights of agreement and difference of each field, from pairs without labels.
 
-    Pairs are a mixture of repeats and others whose fields agree independently; expectation
-    maximisation finds how often they do in each, starting from pairs that agree in most.
+    ``vectors`` are the different patterns of agreement, ``times`` how many pairs have each.  Pairs
+    are a mixture of repeats and others whose fields agree independently; expectation maximisation
+    finds how often they do in each, starting from pairs that agree in most.
     """
-    if len(vectors) < 50 or len(np.unique(vectors, axis=0)) < 3:
+    if times.sum() < 50 or len(vectors) < 3:
         return DEFAULT
     p = np.clip(vectors.mean(axis=1) ** 2, 0.02, 0.98)
     for _ in range(rounds):
-        prior = np.clip(p.mean(), 1e-3, 1 - 1e-3)
-        m = np.clip((p @ vectors + 0.5) / (p.sum() + 1), 0.01, 0.99)
-        u = np.clip(((1 - p) @ vectors + 0.5) / ((1 - p).sum() + 1), 0.01, 0.99)
+        yes, no = p * times, (1 - p) * times
+        prior = np.clip(yes.sum() / times.sum(), 1e-3, 1 - 1e-3)
+        m = np.clip((yes @ vectors + 0.5) / (yes.sum() + 1), 0.01, 0.99)
+        u = np.clip((no @ vectors + 0.5) / (no.sum() + 1), 0.01, 0.99)
         x = np.log(prior / (1 - prior)) + vectors @ np.log(m / u) + (1 - vectors) @ np.log((1 - m) / (1 - u))
         p = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     return {"bias": float(np.log(prior / (1 - prior))), "agree": np.log(m / u).tolist(), "differ": np.log((1 - m) / (1 - u)).tolist()}
@@ -233,10 +235,15 @@ class Linker:
         return self._read("parents", "event_id bigint, rep bigint")
 
     def _common_words(self, events: DataFrame) -> frozenset[str]:
-        """Words in more than the share COMMON of a bounded sample of notes."""
-        texts = [r.text for r in events.filter("text is not null").orderBy(F.xxhash64("event_id"), "event_id").limit(LEARN_NOTES).select(F.substring("text", 1, 4000).alias("text")).toLocalIterator()]
-        count = Counter(w for t in texts for w in set(fold(t)))
-        return frozenset(w for w, n in count.items() if n > max(3, COMMON * len(texts)))
+        """Words in more than the share COMMON of the notes; at most a few for each word of a note."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                held = Counter(w for t in batch.text for w in set(fold(t)))
+                yield pd.DataFrame({"word": ["", *held], "n": [len(batch), *held.values()]})
+
+        counts = {r.word: r.n for r in _over_share(events.filter("text is not null").select("text").mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), COMMON).collect()}
+        return frozenset(w for w in counts if w)
 
     def accept(self, events: DataFrame, months: list[int] | None = None) -> None:
         """Takes in the next batch; its events must have arrived after all accepted ones.
@@ -269,16 +276,18 @@ class Linker:
         """(new_id, old_id): notes of the batch and accepted ones, its own too, that are one note."""
         around = sorted({m + d for m in touched for d in (-1, 0, 1)} & self.months)
         known = self.records(around)
-        probes = new.select(F.col("event_id").alias("new_id"), F.explode(F.array(*(F.col("span") + d for d in (-1, 0, 1)))).alias("span"), "keys").select("new_id", "span", F.explode("keys").alias("key"))
-        held = known.select(F.col("event_id").alias("old_id"), "span", F.explode("keys").alias("key"))
-        ids = probes.join(held, ["key", "span"]).filter("old_id < new_id").select("new_id", "old_id").distinct()
+        probes = new.select(F.col("event_id").alias("new_id"), F.explode(F.array(*(F.col("span") + d for d in (-1, 0, 1)))).alias("span"), F.col("secs").alias("new_secs"), "keys").select("new_id", "span", "new_secs", F.size("keys").alias("new_keys"), F.explode("keys").alias("key"))
+        held = known.select(F.col("event_id").alias("old_id"), "span", F.col("secs").alias("old_secs"), F.size("keys").alias("old_keys"), F.explode("keys").alias("key"))
+        # How many keys two notes share is the first field: a third of those of either is the least.
+        ids = probes.join(held, ["key", "span"]).filter("old_id < new_id and abs(new_secs - old_secs) <= %d" % SPAN).groupBy("new_id", "old_id").agg(F.count("*").alias("shared"), F.min(F.least("new_keys", "old_keys")).alias("keys")).filter("shared >= floor(keys * 0.34)").select("new_id", "old_id")
         a = new.select(F.col("event_id").alias("new_id"), F.col("words").alias("new_words"), F.col("secs").alias("new_secs"))
         b = known.select(F.col("event_id").alias("old_id"), F.col("words").alias("old_words"), F.col("secs").alias("old_secs"))
-        pairs = ids.join(a, "new_id").join(b, "old_id").withColumn("gap", F.abs(F.col("new_secs") - F.col("old_secs"))).filter(F.col("gap") <= SPAN)
-        if self.weights is None:
-            sample = _compared(pairs.orderBy(F.xxhash64("new_id", "old_id"), "new_id", "old_id").limit(LEARN_PAIRS), None).select("fields").toPandas()
-            self.weights = learn(np.array(sample.fields.tolist(), float).reshape(-1, len(FEATURES)))
-        return _compared(pairs, self.weights).select("new_id", "old_id")
+        with_texts = lambda some: some.join(a, "new_id").join(b, "old_id").withColumn("gap", F.abs(F.col("new_secs") - F.col("old_secs")))
+        if self.weights is None:  # ids are chosen first, so no texts come to the driver
+            few = ids.orderBy(F.xxhash64("new_id", "old_id"), "new_id", "old_id").limit(LEARN_PAIRS)
+            fields = _compared(with_texts(few), None).groupBy("fields").agg(F.count("*").alias("n")).collect()  # at most 2 ** 7 rows
+            self.weights = learn(np.array([list(r.fields) for r in fields], float).reshape(-1, len(FEATURES)), np.array([r.n for r in fields], float))
+        return _compared(with_texts(ids), self.weights).select("new_id", "old_id")
 
     def _mapped(self, links: DataFrame) -> DataFrame:
         """Rows that map the batch's repeats, and representatives it joins, to the least of them."""
@@ -296,24 +305,38 @@ class Linker:
         return connected_components(self.parents(), "rep", "event_id").select(F.col("node").alias("event_id"), F.col("component").alias("rep")).filter("event_id != rep")
 
 
+def _over_share(counts: DataFrame, share: float) -> DataFrame:
+    """Words in more than a share of all notes; the row of the empty word has the number of notes."""
+    total = counts.filter("word = ''").select(F.col("n").alias("total"))
+    return counts.join(F.broadcast(total)).filter((F.col("n") > F.greatest(F.lit(3), F.col("total") * share)) | (F.col("word") == "")).select("word", "n")  # one row on the right
+
+
 def month_of(span):
     return F.floor(span / 15).cast("int")
 
 
-def repeats(events: DataFrame, folder: str | None = None) -> DataFrame:
+def repeats(events: DataFrame, folder: str | None = None, share: float = 1 / 3) -> DataFrame:
     """(event_id, dup_event_id): each repeat with the earliest event of its note.
 
-    Batches are accepted one by one in the order of ``batch_id``, null ones last.  Events without
+    Batches are accepted in the order of ``batch_id``, null ones last.  A backlog is taken in steps:
+    as many batches at a time as hold a third of what is accepted already, so there are few steps
+    and none goes through more than it adds a few times; one batch at a time gives the same rows.
+    Events without
     an id, a time or words repeat nothing; a repeat is noted at most 48 hours from the earliest.
     Repeated rows are one event; an empty table gives an empty result.
     """
     spark = events.sparkSession
     linker = Linker.new(spark, folder)
     month = month_of(F.floor(seconds(F.col("created_utc_secs")) / SPAN))
-    batches = events.select("batch_id", month.alias("month")).groupBy("batch_id").agg(F.collect_set("month").alias("months")).collect()  # batches and months only
+    batches = events.select("batch_id", month.alias("month")).groupBy("batch_id").agg(F.collect_set("month").alias("months"), F.count("*").alias("n")).collect()  # batches and months only
     order = sorted(batches, key=lambda r: (r.batch_id is None, r.batch_id or 0))
+    accepted, step = 0, []
     for r in order:
-        linker.accept(events.filter(F.col("batch_id").eqNullSafe(F.lit(r.batch_id))), r.months)
+        step.append(r)
+        if sum(x.n for x in step) >= accepted * share or r is order[-1]:
+            some = F.col("batch_id").isin([x.batch_id for x in step if x.batch_id is not None])
+            linker.accept(events.filter(some | F.col("batch_id").isNull() if any(x.batch_id is None for x in step) else some), sorted({m for x in step for m in x.months}))
+            accepted, step = accepted + sum(x.n for x in step), []
     if not order:
         return spark.createDataFrame([], T.StructType([T.StructField("event_id", T.LongType()), T.StructField("dup_event_id", T.LongType())]))
     found = linker.representatives()
