@@ -30,6 +30,13 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": ids[root[moved]], "b": ids[moved]})
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether all links are stars: no node is a centre and a leaf, and no leaf has two centres."""
+    twice = links.groupBy("b").agg(F.count("*").alias("n")).filter("n > 1").select("b")
+    centres = links.select(F.col("a").alias("b")).distinct()
+    return twice.union(links.select("b").join(centres, "b", "left_semi")).isEmpty()
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node that has a link to another; its component's least node.
 
@@ -41,22 +48,15 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_roun
     kind = dict(links.dtypes)[a]
     pairs = links.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null and a != b")
     now = materialise(pairs.mapInPandas(_contract, f"a {kind}, b {kind}").distinct())
-    if now.isEmpty():
-        return now.select(F.col("b").alias("node"), F.col("a").alias("component"))
     for _ in range(most_rounds):
+        if _settled(now):
+            break
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a != b").distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         joined = large.join(low, "b")
-        small = joined.select(F.col("m").alias("a"), "b").union(joined.filter("a != m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
-        new = materialise(small)
-        # Stars: no node is both a centre and a leaf, and no leaf has two centres.
-        leaves, tops = new.select("b"), new.select(F.col("a").alias("b")).distinct()
-        settled = new.groupBy("b").agg(F.count("*").alias("n")).filter("n > 1").isEmpty() and leaves.join(tops, "b", "left_semi").isEmpty()
-        now = new
-        if settled:
-            break
+        now = materialise(joined.select(F.col("m").alias("a"), "b").union(joined.filter("a != m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct())
     else:
         raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
     tops = now.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("component"))
