@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ _LEET = str.maketrans("0134578@$!|", "oieastbasil")
 _END = re.compile(r"[.!?…。！？]+(?=\s|$)|\n+|</?p>|<br/?>")
 _SPEAKER = re.compile(r"^\s*(?:[-*#>•]+\s+|\d+[.)]\s+|[^\W\d_]+:\s+)+")
 _SPELLED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_*·•~/|,]{1,2}[^\W_]){2,}(?![^\W_])")
-_TOKEN = re.compile(r"[^\W_]+(?:[*@$!|][^\W_]+)*")
+_TOKEN = re.compile(r"[^\W_]+(?:[*@$!|]+[^\W_]+)*")
 _RUN = re.compile(r"(.)\1{2,}")
 _MIXED = re.compile(r"[^\W\d_]")
 
@@ -88,11 +89,11 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 300, penalty: float
     A label is taken to be wrong with the probability ``noise``, so a document labelled abusive of
     which no sentence is like those of others moves the weights little.
     """
-    flat, sizes, doc = [], [], []
+    flat, sizes, doc = array("I"), [], []
     for d, text in enumerate(texts):
         for _, w in instances(text):
             f = features(w)
-            flat += f
+            flat.extend(f)
             sizes.append(len(f))
             doc.append(d)
     weights = np.zeros(FEATURES + 1, np.float32)
@@ -100,12 +101,12 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 300, penalty: float
     if not flat or not (0 < labels.mean() < 1):
         weights[-1] = -30.0  # nothing can be told apart
         return weights
-    flat, sizes, doc = np.array(flat, np.int64), np.array(sizes), np.array(doc)
+    flat, sizes, doc = np.frombuffer(flat, np.uint32), np.array(sizes), np.array(doc)
     start = np.r_[0, np.cumsum(sizes)[:-1]]
     names, place = np.unique(flat, return_inverse=True)
-    sentence = np.repeat(np.arange(len(sizes)), sizes)
+    place = place.astype(np.int32)
     # Features of a single document say nothing about others.
-    pairs = np.unique(place * np.int64(len(texts)) + doc[sentence])
+    pairs = np.unique(place * np.int64(len(texts)) + np.repeat(doc, sizes))
     often = np.bincount(pairs // len(texts), minlength=len(names)) >= 2
     scale = 1 / np.sqrt(np.maximum(sizes, 1))
     keep = 1 - 2 * noise

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorespark.operators.components import connected_components
-from lorespark.session import scratch_path
+from lorespark.session import materialise, scratch_path
 
 HOURS, SPAN = 48, 48 * 3600
 #: Numbers and words of a note that become blocking keys; the share of notes from which on a word
@@ -242,8 +242,10 @@ class Linker:
                 held = Counter(w for t in batch.text for w in set(fold(t)))
                 yield pd.DataFrame({"word": ["", *held], "n": [len(batch), *held.values()]})
 
-        counts = {r.word: r.n for r in _over_share(events.filter("text is not null").select("text").mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), COMMON).collect()}
-        return frozenset(w for w in counts if w)
+        counts = materialise(events.filter("text is not null").select("text").mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+        total = counts.filter("word = ''").first()  # one row: the number of notes
+        least = max(3.0, COMMON * total.n) if total else 0.0
+        return frozenset(r.word for r in counts.filter((F.col("word") != "") & (F.col("n") > least)).select("word").collect())
 
     def accept(self, events: DataFrame, months: list[int] | None = None) -> None:
         """Takes in the next batch; its events must have arrived after all accepted ones.
@@ -305,21 +307,15 @@ class Linker:
         return connected_components(self.parents(), "rep", "event_id").select(F.col("node").alias("event_id"), F.col("component").alias("rep")).filter("event_id != rep")
 
 
-def _over_share(counts: DataFrame, share: float) -> DataFrame:
-    """Words in more than a share of all notes; the row of the empty word has the number of notes."""
-    total = counts.filter("word = ''").select(F.col("n").alias("total"))
-    return counts.join(F.broadcast(total)).filter((F.col("n") > F.greatest(F.lit(3), F.col("total") * share)) | (F.col("word") == "")).select("word", "n")  # one row on the right
-
-
 def month_of(span):
     return F.floor(span / 15).cast("int")
 
 
-def repeats(events: DataFrame, folder: str | None = None, share: float = 1 / 3) -> DataFrame:
+def repeats(events: DataFrame, folder: str | None = None, share: float = 0.5) -> DataFrame:
     """(event_id, dup_event_id): each repeat with the earliest event of its note.
 
     Batches are accepted in the order of ``batch_id``, null ones last.  A backlog is taken in steps:
-    as many batches at a time as hold a third of what is accepted already, so there are few steps
+    as many batches at a time as hold half of what is accepted already, so there are few steps
     and none goes through more than it adds a few times; one batch at a time gives the same rows.
     Events without
     an id, a time or words repeat nothing; a repeat is noted at most 48 hours from the earliest.

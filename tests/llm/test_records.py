@@ -120,7 +120,7 @@ from pyspark.sql import functions as F  # noqa: E402
 WANT = sorted([(1, i) for i in range(2, len(REPEATS) + 1)] + [(1, 205), (200, 206)] + [(300, 300 + i) for i in range(1, 60)], key=repr)
 
 
-@pytest.mark.parametrize("share", [0.0, 1 / 3])
+@pytest.mark.parametrize("share", [0.0, 0.5])
 def test_repeats_in_steps_or_batch_by_batch(spark, share):
     assert rows(linkage.repeats(events(spark), share=share)) == WANT
 
