@@ -59,7 +59,10 @@ def false_discovery(candidates: DataFrame, q: float = 0.05, family: str | None =
     over = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     ranks = counts.withColumn("__upto", F.sum("__n").over(over.orderBy(p_col))).withColumn("__m", F.sum("__n").over(over))
     cut = ranks.filter(F.col(p_col) <= F.col("__upto") / F.col("__m") * q).groupBy(*keys).agg(F.max(p_col).alias("__cut"))
-    joined = candidates.join(cut, keys, "left") if keys else candidates.join(F.broadcast(cut.agg(F.max("__cut").alias("__cut"))))
+    if keys:
+        joined = candidates.join(cut, keys, "left")
+    else:
+        joined = candidates.withColumn("__cut", F.lit(cut.first()["__cut"]).cast("double"))  # one number
     return joined.withColumn("accepted", F.coalesce(F.col(p_col) <= F.col("__cut"), F.lit(False))).drop("__cut")
 
 

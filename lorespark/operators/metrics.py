@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -59,8 +59,6 @@ def nearest_rank(values: DataFrame, by: list[str], value: str, shares: dict[str,
 
     Values are ranked by a window over (by, value) counts, so equal values are aggregated first.
     """
-    from pyspark.sql import Window
-
     counts = values.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
     order = Window.partitionBy(*by).orderBy(value)
     upto = counts.withColumn("upto", F.sum("n").over(order)).withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
@@ -81,6 +79,15 @@ def insight_scores(found: DataFrame, truth: DataFrame, traps: DataFrame, least:
     same = f.join(t, F.col("fe") == F.col("te")).select("fid", "tid")
     shared = f.withColumn("x", F.explode("fv")).join(t.withColumn("x", F.explode("tv")), "x").drop("x").dropDuplicates(["fid", "tid"])
     matches = same.unionByName(shared.filter(jaccard(F.col("fv"), F.col("tv")) >= least).select("fid", "tid")).distinct()
-    counts = found.agg(F.count("*").alias("surfaced")).join(truth.agg(F.count("*").alias("truths"))).join(matches.agg(F.countDistinct("fid").alias("right"), F.countDistinct("tid").alias("matched"))).join(found.join(traps.select("entity").distinct(), "entity", "left_semi").agg(F.count("*").alias("trap_hits")))
-    precision = F.when(F.col("surfaced") > 0, F.col("right") / F.col("surfaced"))
-    return counts.select("surfaced", "matched", precision.alias("precision"), F.when(F.col("truths") > 0, F.col("matched") / F.col("truths")).otherwise(0.0).alias("recall"), F.coalesce(1 - precision, F.lit(0.0)).alias("false_rate"), "trap_hits")
+    sizes = found.select(F.lit("f").alias("what")).union(truth.select(F.lit("t"))).union(found.join(traps.select("entity").distinct(), "entity", "left_semi").select(F.lit("x"))).groupBy("what").count()
+    n = {r.what: r["count"] for r in sizes.collect()}  # three numbers
+    surfaced, truths = n.get("f", 0), n.get("t", 0)
+    precision = F.col("right") / float(surfaced) if surfaced else F.lit(None).cast("double")
+    return matches.agg(F.countDistinct("fid").alias("right"), F.countDistinct("tid").alias("matched")).select(
+        F.lit(surfaced).alias("surfaced"),
+        "matched",
+        precision.alias("precision"),
+        (F.col("matched") / float(truths) if truths else F.lit(0.0)).alias("recall"),
+        F.coalesce(1 - precision, F.lit(0.0)).alias("false_rate"),
+        F.lit(n.get("x", 0)).alias("trap_hits"),
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions import text as tx
@@ -13,6 +13,7 @@ from lorespark.functions.vector import shortened
 from lorespark.operators import graph, insight, ledger, lexical, metrics, search, store
 from lorespark.plans import scheduler
 from lorespark.session import materialise, table
+from lorespark.sources.readers import pooled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 K = 10
@@ -179,11 +180,7 @@ def id_assignment(spark, sf):
 @query
 def pooled_offsets(spark, sf):
     """Entries of each kind numbered one after another."""
-    from lorespark.sources.readers import pooled
-
     rows = _entries(spark, sf).select(F.coalesce("kind", F.lit("")).alias("instance"), F.col("id").alias("entry"))
-    from pyspark.sql import Window
-
     numbered = rows.withColumn("id", F.row_number().over(Window.partitionBy("instance").orderBy("entry")) - 1)
     return pooled(numbered).select("instance", "entry", "global_id")
 
@@ -406,11 +403,7 @@ def exact_knn(spark, sf):
 @query
 def matryoshka_knn(spark, sf):
     short = _vectors(spark, sf).select("vec_id", shortened(F.col("embedding"), 32).alias("embedding"))
-    return _double_nearest(short, search.queries_of(short), K)
-
-
-def _double_nearest(vectors, queries, k):
-    return search.exact_nearest(vectors, queries, k)
+    return search.exact_nearest(short, search.queries_of(short), K)
 
 
 @query
