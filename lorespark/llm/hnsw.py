@@ -174,3 +174,41 @@ class Graph:
         """The same for vectors of the graph, from their own links; each finds itself too."""
         entry = np.hstack([rows[:, None], self.near[rows]]).astype(np.int32)
         return beam_search(self.vecs, self.near, self.vecs[rows], entry, ef)
+
+
+def improve(vecs: np.ndarray, queries: np.ndarray, found: np.ndarray, lists: np.ndarray, few: int = 8) -> np.ndarray:
+    """The best of what each query found and of the lists of the ``few`` best of these, best first.
+
+    ``found`` has a query's vectors, ``lists`` those of each vector, -1 where there are fewer.
+    """
+    out = np.full_like(found, -1)
+    width = found.shape[1]
+    for at in range(0, len(found), 1024):
+        own = found[at : at + 1024]
+        more = np.where(own[:, :few, None] >= 0, lists[own[:, :few]], -1).reshape(len(own), -1)
+        ids = np.sort(np.hstack([own, more]), axis=1)
+        ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = -1
+        sims = np.matmul(vecs[np.maximum(ids, 0)], queries[at : at + 1024, :, None])[:, :, 0]
+        sims[ids < 0] = -np.inf
+        best = np.argpartition(-sims, width - 1, axis=1)[:, :width]
+        best = np.take_along_axis(best, np.argsort(-np.take_along_axis(sims, best, 1), axis=1, kind="stable"), 1)
+        out[at : at + 1024] = np.where(np.isfinite(np.take_along_axis(sims, best, 1)), np.take_along_axis(ids, best, 1), -1)
+    return out
+
+
+def both_ways(vecs: np.ndarray, lists: np.ndarray, most: int = 16) -> np.ndarray:
+    """The lists with, for each vector, the ``most`` nearest of those that list it.
+
+    A vector that few links lead to is hard to find, but it finds its own neighbours.
+    """
+    to, frm = lists.ravel(), np.repeat(np.arange(len(lists), dtype=np.int32), lists.shape[1])
+    keep = (to >= 0) & (to != frm)
+    to, frm = to[keep], frm[keep]
+    like = np.concatenate([_dots(vecs, frm[i : i + 65536], vecs, to[i : i + 65536]) for i in range(0, len(to), 65536)] or [np.zeros(0, np.float32)])
+    order = np.lexsort((-like, to))
+    to, frm = to[order], frm[order]
+    per = np.bincount(to, minlength=len(lists))
+    slot = np.arange(len(to)) - np.repeat(np.cumsum(per) - per, per)
+    out = np.full((len(lists), most), -1, np.int32)
+    out[to[slot < most], slot[slot < most]] = frm[slot < most]
+    return np.hstack([lists, out])

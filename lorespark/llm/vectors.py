@@ -129,16 +129,24 @@ def plan_shards(heads: DataFrame, shard_rows: int = SHARD_ROWS) -> Shards:
             yield pd.DataFrame({"cell": shards.likeness(unit(batch.vec)).argmax(axis=1)})
 
     sizes = {r.cell: r.n for r in heads.select("vec").mapInPandas(cells, "cell int").groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    number, room = 0, 0
+    number = 0
     for c, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
         if n > shard_rows:
             parts = math.ceil(n / shard_rows)
             shards.of[c] = list(range(number, number + parts))
             number += parts
-    for c, n in sorted(((c, n) for c, n in sizes.items() if c not in shards.of), key=lambda x: x[0]):
-        if room < n:
-            number, room = number + 1, shard_rows
-        shards.of[c], room = [number - 1], room - n
+    # Cells that are like each other share a shard, so what visits one of them seldom needs another.
+    middle = np.stack([centres[cell == c].sum(axis=0) for c in range(cell.max() + 1)])
+    middle /= np.maximum(np.linalg.norm(middle, axis=1, keepdims=True), 1e-9)
+    left = {c: n for c, n in sizes.items() if c not in shards.of}
+    while left:
+        c = max(left, key=lambda c: (left[c], -c))
+        room, whole = shard_rows, np.zeros(centres.shape[1])
+        while c is not None:
+            n = left.pop(c)
+            shards.of[c], room, whole = [number], room - n, whole + n * middle[c]
+            c = max((x for x in left if left[x] <= room), key=lambda x: (float(middle[x] @ whole), -x), default=None)
+        number += 1
     shards.count = number
     return shards
 

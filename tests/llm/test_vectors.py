@@ -33,7 +33,7 @@ def points():
     return v
 
 
-@pytest.mark.parametrize("rows", [None, 150])
+@pytest.mark.parametrize("rows", [4096, 150])
 def test_nearest_against_brute_force(spark, points, rows):
     got = {}
     for r in neighbours.nearest(table(spark, points), shard_rows=rows).collect():
