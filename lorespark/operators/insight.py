@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,15 +122,31 @@ def temporal_leads(mentions: DataFrame, max_lag: int = MAX_LAG, tolerance: int =
     full = F.col("selected") + F.col("held_out")
     sized = best.join(sizes.select(F.col("entity").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("entity").alias("b"), F.col("n").alias("nb")), "b")
     good = sized.filter((full >= MIN_COUNT) & (full >= F.col("na") * min_ratio) & (F.col("held_out") >= MIN_TEST))
-    held = series.filter("nth % 2 = 0").select(F.col("entity").alias("a"), "nth", "day")
-    smear = series.select(F.col("entity").alias("b"), F.explode(F.array(*(F.pmod(F.col("day") + d, F.lit(period)) for d in range(-tolerance, tolerance + 1)))).alias("spot")).distinct()
-    shifts = good.join(held, "a").join(smear, "b").select("a", "b", "held_out", "nth", F.pmod(F.col("spot") - F.col("day"), F.lit(period)).alias("shift"))
-    meet = shifts.groupBy("a", "b", "held_out", "shift").agg(F.count("*").alias("c"))
-    p = meet.groupBy("a", "b").agg(F.round(F.sum((F.col("c") >= F.col("held_out")).cast("bigint")) / float(period), 6).alias("p_value"))
+    # At most one element for each day of the period.
+    held = series.filter("nth % 2 = 0").groupBy(F.col("entity").alias("a"), "day").agg(F.count("*").alias("n")).groupBy("a").agg(F.collect_list("day").alias("days"), F.collect_list("n").alias("times"))
+    smear = series.select(F.col("entity").alias("b"), F.explode(F.array(*(F.pmod(F.col("day") + d, F.lit(period)) for d in range(-tolerance, tolerance + 1)))).alias("spot")).groupBy("b").agg(F.collect_set("spot").alias("spots"))
+    p = good.select("a", "b", "held_out").join(held, "a").join(smear, "b").select("a", "b", "held_out", "days", "times", "spots").mapInPandas(_shift_test(period), "a string, b string, p_value double")
     effect = full / F.sqrt(F.col("na") * F.col("nb").cast("double"))
     return good.join(p, ["a", "b"]).select("a", "b", "lag", full.alias("support"), F.round(effect, 6).alias("effect"), "p_value")
 
 
+def _shift_test(period: int):
+    """For pairs of day series, how often a shift round the period meets as often as was seen."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for a, b, seen, days, times, spots in batch.itertuples(index=False):
+                held, smear = np.zeros(period), np.zeros(period)
+                np.add.at(held, np.asarray(days), np.asarray(times))
+                smear[np.asarray(spots)] = 1
+                meets = np.rint(np.fft.irfft(np.conj(np.fft.rfft(held)) * np.fft.rfft(smear), period))
+                out.append((a, b, round(float((meets >= seen).sum()) / period, 6)))
+            yield pd.DataFrame(out, columns=["a", "b", "p_value"])
+
+    return run
+
+
 def lead_evidence(leads: DataFrame, mentions: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
     """(a, b, entry_a, entry_b): for each mention of a the first of b within the window of its lag."""
     series = day_series(mentions)
