@@ -4,8 +4,10 @@ A note is reduced to folded words.  Its blocking keys are a few of its numbers a
 each with the two days it was noted in.  A new batch is probed against the keys of accepted notes
 of the days it touches only; candidate pairs are compared field by field, the fields are weighed by
 weights learned from candidates of the first batch, and a rule check follows that lets no number
-and no name differ.  Of each note only changes to its cluster are written: a row that maps an event
-to the representative, the earliest event of its note.
+and no name differ.  Of each cluster of like notes only changes are written: a row that maps an event to
+another of its cluster.  A cluster may go on for longer than 48 hours, as notes do that are made
+every day; it is walked in order of arrival, and an event that no earliest event of a note lies
+within 48 hours of is the earliest of a further note.
 """
 
 from __future__ import annotations
@@ -172,6 +174,8 @@ def weigh(fields: tuple[int, ...], weights: dict) -> float:
 
 
 _RECORD = "event_id bigint, secs bigint, span bigint, canon bigint, words string, keys array<bigint>"
+#: What is kept of copies in a batch and span: the first, and the first and last time of them all.
+_KEPT = _RECORD + ", low bigint, high bigint, month int"
 
 
 def _prepared(events: DataFrame, common: frozenset[str]) -> DataFrame:
@@ -228,10 +232,10 @@ class Linker:
 
     def records(self, months: list[int]) -> DataFrame:
         """Accepted notes of the given months; only their folders are read."""
-        return self._read("records", _RECORD + ", month int").filter(F.col("month").isin(months))
+        return self._read("records", _KEPT).filter(F.col("month").isin(months))
 
     def parents(self) -> DataFrame:
-        """(event_id, rep): repeats and the representative of their note, in the order found."""
+        """(event_id, rep): events and another of their cluster, in the order found."""
         return self._read("parents", "event_id bigint, rep bigint")
 
     def _common_words(self, events: DataFrame) -> frozenset[str]:
@@ -258,9 +262,10 @@ class Linker:
         links = None
         try:
             # Copies within a batch and span come to the first of them, before anything is compared.
-            several = every.groupBy("canon", "span").agg(F.min("event_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+            several = every.groupBy("canon", "span").agg(F.min("event_id").alias("first"), F.min("secs").alias("low"), F.max("secs").alias("high"), F.count("*").alias("n")).filter("n > 1").drop("n")
             copies = every.join(several, ["canon", "span"]).filter("event_id != first").select("event_id", F.col("first").alias("rep")).distinct()
-            new = every.join(copies, "event_id", "left_anti").dropDuplicates(["event_id"]).withColumn("month", month_of(F.col("span")))
+            new = every.join(copies, "event_id", "left_anti").dropDuplicates(["event_id"]).join(several.drop("first"), ["canon", "span"], "left")
+            new = new.select(*every.columns, F.coalesce("low", "secs").alias("low"), F.coalesce("high", "secs").alias("high"), month_of(F.col("span")).alias("month"))
             new.repartition("month").write.mode("append").partitionBy("month").parquet(f"{self.folder}/records")
             touched = months if months is not None else [r.month for r in new.select("month").distinct().collect()]
             self.batches += 1
@@ -278,13 +283,13 @@ class Linker:
         """(new_id, old_id): notes of the batch and accepted ones, its own too, that are one note."""
         around = sorted({m + d for m in touched for d in (-1, 0, 1)} & self.months)
         known = self.records(around)
-        probes = new.select(F.col("event_id").alias("new_id"), F.explode(F.array(*(F.col("span") + d for d in (-1, 0, 1)))).alias("span"), F.col("secs").alias("new_secs"), "keys").select("new_id", "span", "new_secs", F.size("keys").alias("new_keys"), F.explode("keys").alias("key"))
-        held = known.select(F.col("event_id").alias("old_id"), "span", F.col("secs").alias("old_secs"), F.size("keys").alias("old_keys"), F.explode("keys").alias("key"))
+        probes = new.select(F.col("event_id").alias("new_id"), F.explode(F.array(*(F.col("span") + d for d in (-1, 0, 1)))).alias("span"), F.col("low").alias("new_low"), F.col("high").alias("new_high"), "keys").select("new_id", "span", "new_low", "new_high", F.size("keys").alias("new_keys"), F.explode("keys").alias("key"))
+        held = known.select(F.col("event_id").alias("old_id"), "span", F.col("low").alias("old_low"), F.col("high").alias("old_high"), F.size("keys").alias("old_keys"), F.explode("keys").alias("key"))
         # How many keys two notes share is the first field: a third of those of either is the least.
-        ids = probes.join(held, ["key", "span"]).filter("old_id < new_id and abs(new_secs - old_secs) <= %d" % SPAN).groupBy("new_id", "old_id").agg(F.count("*").alias("shared"), F.min(F.least("new_keys", "old_keys")).alias("keys")).filter("shared >= floor(keys * 0.34)").select("new_id", "old_id")
-        a = new.select(F.col("event_id").alias("new_id"), F.col("words").alias("new_words"), F.col("secs").alias("new_secs"))
-        b = known.select(F.col("event_id").alias("old_id"), F.col("words").alias("old_words"), F.col("secs").alias("old_secs"))
-        with_texts = lambda some: some.join(a, "new_id").join(b, "old_id").withColumn("gap", F.abs(F.col("new_secs") - F.col("old_secs")))
+        ids = probes.join(held, ["key", "span"]).filter("old_id < new_id and greatest(new_low - old_high, old_low - new_high) <= %d" % SPAN).groupBy("new_id", "old_id").agg(F.count("*").alias("shared"), F.min(F.least("new_keys", "old_keys")).alias("keys")).filter("shared >= floor(keys * 0.34)").select("new_id", "old_id")
+        a = new.select(F.col("event_id").alias("new_id"), F.col("words").alias("new_words"), F.col("low").alias("new_low"), F.col("high").alias("new_high"))
+        b = known.select(F.col("event_id").alias("old_id"), F.col("words").alias("old_words"), F.col("low").alias("old_low"), F.col("high").alias("old_high"))
+        with_texts = lambda some: some.join(a, "new_id").join(b, "old_id").withColumn("gap", F.expr("greatest(new_low - old_high, old_low - new_high, 0)"))
         if self.weights is None:  # ids are chosen first, so no texts come to the driver
             few = ids.orderBy(F.xxhash64("new_id", "old_id"), "new_id", "old_id").limit(LEARN_PAIRS)
             fields = _compared(with_texts(few), None).groupBy("fields").agg(F.count("*").alias("n")).collect()  # at most 2 ** 7 rows
@@ -292,7 +297,7 @@ class Linker:
         return _compared(with_texts(ids), self.weights).select("new_id", "old_id")
 
     def _mapped(self, links: DataFrame) -> DataFrame:
-        """Rows that map the batch's repeats, and representatives it joins, to the least of them."""
+        """Rows that map the batch's repeats, and clusters it joins, to the least of them."""
         old = links
         if self.batches > 1:
             up = self.parents().groupBy("event_id").agg(F.min("rep").alias("rep"))
@@ -302,9 +307,35 @@ class Linker:
         joined = by_new.filter(F.size("roots") > 1).select(F.explode("roots").alias("event_id"), "rep").filter("event_id != rep")
         return one.union(joined)
 
-    def representatives(self) -> DataFrame:
-        """(event_id, rep) of every repeat; rows of the mapping are followed to the least event."""
-        return connected_components(self.parents(), "rep", "event_id").select(F.col("node").alias("event_id"), F.col("component").alias("rep")).filter("event_id != rep")
+    def clusters(self) -> DataFrame:
+        """(event_id, cluster) of every event that is like another, by the least event of its cluster."""
+        return connected_components(self.parents(), "rep", "event_id").select(F.col("node").alias("event_id"), F.col("component").alias("cluster"))
+
+
+def anchored(members: DataFrame) -> DataFrame:
+    """(event_id, dup_event_id): each repeat with the earliest event of its note.
+
+    ``members`` (cluster, event_id, secs) are walked cluster by cluster in order of arrival.  An
+    event repeats the earliest anchor at most 48 hours away; one without is an anchor itself.  A
+    span of time has one anchor at most, and nothing else of a cluster is kept in memory.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, anchors = None, {}
+        for batch in batches:
+            out = []
+            for cluster, event, secs in zip(batch.cluster.tolist(), batch.event_id.tolist(), batch.secs.tolist()):
+                if cluster != current:
+                    current, anchors = cluster, {}
+                at = secs // SPAN
+                close = [anchors[x][0] for x in (at - 1, at, at + 1) if x in anchors and abs(anchors[x][1] - secs) <= SPAN]
+                if close:
+                    out.append((min(close), event))
+                else:
+                    anchors[at] = event, secs
+            yield pd.DataFrame(out, columns=["event_id", "dup_event_id"])
+
+    return members.select("cluster", "event_id", "secs").repartition("cluster").sortWithinPartitions("cluster", "event_id").mapInPandas(run, "event_id bigint, dup_event_id bigint")
 
 
 def month_of(span):
@@ -318,7 +349,8 @@ def repeats(events: DataFrame, folder: str | None = None, share: float = 0.5) ->
     as many batches at a time as hold half of what is accepted already, so there are few steps
     and none goes through more than it adds a few times; one batch at a time gives the same rows.
     Events without
-    an id, a time or words repeat nothing; a repeat is noted at most 48 hours from the earliest.
+    an id, a time or words repeat nothing; a repeat is noted at most 48 hours from the earliest, and
+    one that is further from it than that begins a note of its own.
     Repeated rows are one event; an empty table gives an empty result.
     """
     spark = events.sparkSession
@@ -335,7 +367,5 @@ def repeats(events: DataFrame, folder: str | None = None, share: float = 0.5) ->
             accepted, step = accepted + sum(x.n for x in step), []
     if not order:
         return spark.createDataFrame([], T.StructType([T.StructField("event_id", T.LongType()), T.StructField("dup_event_id", T.LongType())]))
-    found = linker.representatives()
-    times = events.filter("event_id is not null").groupBy(F.col("event_id").cast("bigint").alias("id")).agg(F.min(seconds(F.col("created_utc_secs"))).alias("secs"))
-    both = found.join(times.select(F.col("id").alias("event_id"), F.col("secs").alias("a")), "event_id").join(times.select(F.col("id").alias("rep"), F.col("secs").alias("b")), "rep")
-    return both.filter(F.abs(F.col("a") - F.col("b")) <= SPAN).select(F.col("rep").alias("event_id"), F.col("event_id").alias("dup_event_id"))
+    times = events.filter("event_id is not null").groupBy(F.col("event_id").cast("bigint").alias("event_id")).agg(F.min(seconds(F.col("created_utc_secs"))).alias("secs"))
+    return anchored(linker.clusters().join(times, "event_id"))

@@ -188,3 +188,24 @@ def test_scores_of_odd_rows(spark):
     assert {r.source for r in abuse.rates(abuse.scored(docs, votes)).collect()} == {"s", None}
     assert abuse.scored(docs.limit(0), votes.limit(0)).count() == 0
     assert {r.score < 0.5 for r in abuse.scored(docs, votes.limit(0)).collect()} == {True}
+
+
+def test_a_note_made_again_and_again_begins_anew(spark):
+    pick, hour = random.Random(4), 3600
+    times = {text: [pick.randrange(0, 2000 * hour) for _ in range(n)] for text, n in (("Took the vitamins", 150), ("Watered the ferns 12", 60))}
+    # A copy in the span of an earlier one, which is too far from the first for what follows it.
+    times["Fed the neighbour cat"] = [h * hour for h in (-40, 1, 40, 60)]
+    data = [(t, text) for text, some in times.items() for t in some]
+    pick.shuffle(data)
+    data.sort(key=lambda r: r[1].startswith("Fed"))
+    data = data[:-4] + [(t, "Fed the neighbour cat") for t in times["Fed the neighbour cat"]]
+    base = 48 * hour * 9000
+    want, anchors = [], {}
+    for i, (t, text) in enumerate(data, 1):
+        close = [e for e, s in anchors.setdefault(text, []) if abs(s - t) <= 48 * hour]
+        if close:
+            want.append((min(close), i))
+        else:
+            anchors[text].append((i, t))
+    df = spark.createDataFrame([(i, base + t, text, i // 100) for i, (t, text) in enumerate(data, 1)], "event_id long, created_utc_secs long, text string, batch_id int")
+    assert rows(linkage.repeats(df)) == sorted(want, key=repr)
