@@ -89,6 +89,100 @@ def near(a: str, b: str) -> bool:
     return one[-1] <= most
 
 
+#: Products of word counts up to which all pairs of words are tried; letters up to which deletions
+#: are keys of a word, and from which on pieces are (both where lengths two apart may meet).
+FEW, DELETED, CUT = 400, 24, 22
+
+
+def _deletions(word: str) -> set[str]:
+    """The word without up to two letters, or one if it is too short for two slips."""
+    out = {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+    return out | {w[:i] + w[i + 1 :] for w in out if len(w) == len(word) - 1 for i in range(len(w))} if len(word) >= 4 else out
+
+
+def _pieces(word: str) -> list[tuple[int, int]]:
+    """Ends of five pieces; two slips, each of two neighbouring letters at most, leave one whole."""
+    at = [len(word) * i // 5 for i in range(6)]
+    return list(zip(at, at[1:]))
+
+
+def _short_forms(word: str) -> set[str]:
+    return {word[0], *(word[0] + a for a in word[1:]), *(word[0] + word[i] + word[j] for i in range(1, len(word)) for j in range(i + 1, len(word)))}
+
+
+class NearWords:
+    """The words near others among many, by keys that near words share."""
+
+    def __init__(self, words: list[str]):
+        self.places: dict[str, list[int]] = {}
+        for i, w in reversed(list(enumerate(words))):
+            self.places.setdefault(w, []).append(i)
+        self.held: dict[tuple, list[str]] = {}
+        for w in self.places:
+            for key in self._held(w):
+                self.held.setdefault(key, []).append(w)
+
+    @staticmethod
+    def _held(w: str) -> Iterator[tuple]:
+        if len(w) <= DELETED:
+            yield from (("slip", d) for d in _deletions(w))
+        if len(w) > CUT:
+            yield from (("piece", len(w), i, w[a:b]) for i, (a, b) in enumerate(_pieces(w)))
+        if len(w) <= 3:
+            yield "short", w
+            yield "shorts", w[0]
+        elif len(w) <= DELETED:
+            yield from (("form", f) for f in _short_forms(w))
+        else:
+            yield "long", w[0]
+
+    @staticmethod
+    def _asked(w: str) -> Iterator[tuple]:
+        if len(w) <= DELETED:
+            yield from (("slip", d) for d in _deletions(w))
+        if len(w) > CUT:
+            for size in range(len(w) - 2, len(w) + 3):
+                for i, (a, b) in enumerate(_pieces("." * size)):
+                    yield from (("piece", size, i, w[a + s : b + s]) for s in range(max(-2, -a), 3))
+        if len(w) <= 3:
+            yield "form", w
+            yield "long", w[0]
+        elif len(w) <= DELETED:
+            yield from (("short", f) for f in _short_forms(w))
+        else:
+            yield "shorts", w[0]
+
+    def take(self, w: str) -> int | None:
+        """The place of the first word near ``w``, which is no more among them afterwards."""
+        some = {v for key in self._asked(w) for v in self.held.get(key, ()) if self.places[v]}
+        for v in sorted(some, key=lambda v: self.places[v][-1]):
+            if near(w, v):
+                return self.places[v].pop()
+        return None
+
+
+def matched(wa: list[str], wb: list[str]) -> tuple[list[str], list[str], int]:
+    """What is left of two lists when each word is paired with the first near one, and the pairs."""
+    if len(wa) * len(wb) <= FEW:
+        wa, wb, pairs = list(wa), list(wb), 0
+        for w in list(wa):
+            for v in wb:
+                if near(w, v):
+                    wa.remove(w)
+                    wb.remove(v)
+                    pairs += 1
+                    break
+        return wa, wb, pairs
+    index, left, gone = NearWords(wb), [], set()
+    for w in wa:
+        at = index.take(w)
+        if at is None:
+            left.append(w)
+        else:
+            gone.add(at)
+    return left, [v for i, v in enumerate(wb) if i not in gone], len(gone)
+
+
 FEATURES = ("overlap_half", "overlap_most", "overlap_all", "numbers", "length", "hours", "rest")
 
 
@@ -104,14 +198,9 @@ def compare(a: list[str], b: list[str], gap: float) -> tuple[tuple[int, ...], bo
     # What one has more of: slips and short forms of the other's words, fillers, words said twice.
     wa = [w for w in ra.elements() if not w[0].isdigit()]
     wb = [w for w in rb.elements() if not w[0].isdigit()]
-    if not (na and nb) and len(wa) * len(wb) <= 40_000:
-        for w in list(wa):
-            for v in wb:
-                if near(w, v):
-                    wa.remove(w)
-                    wb.remove(v)
-                    both += 1
-                    break
+    if not (na and nb):
+        wa, wb, pairs = matched(wa, wb)
+        both += pairs
     twice = lambda w, other, own: w in other and w not in FILLERS and own[w] <= 2 * other[w]
     wa = [w for w in wa if w not in FILLERS and not twice(w, cb, ca)]
     wb = [w for w in wb if w not in FILLERS and not twice(w, ca, cb)]

@@ -209,3 +209,36 @@ def test_a_note_made_again_and_again_begins_anew(spark):
             anchors[text].append((i, t))
     df = spark.createDataFrame([(i, base + t, text, i // 100) for i, (t, text) in enumerate(data, 1)], "event_id long, created_utc_secs long, text string, batch_id int")
     assert rows(linkage.repeats(df)) == sorted(want, key=repr)
+
+
+def test_slips_in_very_long_notes():
+    pick = random.Random(8)
+    word = lambda least, most: "".join(pick.choice("abcdefghiklmnoprstuw") for _ in range(pick.randint(least, most)))
+    text = [word(6, 11) for _ in range(6000)]
+    other = list(text)
+    for i in pick.sample(range(6000), 300):
+        at = pick.randrange(1, len(text[i]))
+        other[i] = text[i][:at] + "zq" + text[i][at + 1 :]
+    assert linkage.compare(text, other, 60)[1] and linkage.compare(other, text, 60)[1]
+    other[5] = "entirely"
+    other[9], other[70], other[400], other[900], other[1500] = "different", "things", "stand", "here", "instead"
+    assert not linkage.compare(text, other, 60)[1]
+
+
+def test_near_words_by_keys_are_those_of_all_pairs(monkeypatch):
+    pick = random.Random(5)
+    for size in (1, 3, 5, 7, 12, 22, 25, 40):
+        a = ["".join(pick.choice("abc") for _ in range(max(1, size + pick.randint(-2, 2)))) for _ in range(40)]
+        b = []
+        for w in a + a:
+            w = list(w)
+            for _ in range(pick.randint(0, 3)):
+                i = pick.randrange(len(w) + 1)
+                w[i : i + pick.randint(0, 2)] = pick.choice(["", "d", "ab", "".join(w[i : i + 2][::-1])])
+                w = w or ["a"]
+            b.append("".join(pick.sample(["".join(w), "".join(w)[:3], w[0] + "".join(w)[-2:]], 1)))
+        for x, y in ((a, b), (b, a)):
+            monkeypatch.setattr(linkage, "FEW", 10**9)
+            want = linkage.matched(x, y)
+            monkeypatch.setattr(linkage, "FEW", 0)
+            assert linkage.matched(x, y) == want, size
