@@ -110,3 +110,39 @@ def test_shards_have_partitions_of_their_own(spark):
         rows = [(shards.label(i), i) for i in range(count)]
         df = spark.createDataFrame(rows, "shard int, n int").repartition(count, "shard")
         assert sorted(len(p) for p in df.rdd.glom().collect()) == [1] * count
+
+
+def bridged(dim=64, size=20, seed=2):
+    """Two dense groups that only one pair of their outer members joins."""
+    rng = np.random.default_rng(seed)
+    p, q = np.eye(dim)[0], 0.81 * np.eye(dim)[0] + np.sqrt(1 - 0.81**2) * np.eye(dim)[1]
+    out = [p, q]
+    for end, other in ((p, q), (q, p)):
+        away = -(other - (other @ end) * end)
+        centre = np.cos(0.35) * end + np.sin(0.35) * away / np.linalg.norm(away)
+        out += [centre + 0.01 * rng.standard_normal(dim) for _ in range(size)]
+    v = np.array(out)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def chain(n, dim=64, seed=3):
+    """Vectors each of which only the next and the last one are like."""
+    rng, v = np.random.default_rng(seed), [np.eye(dim)[5]]
+    for _ in range(n - 1):
+        step = rng.standard_normal(dim)
+        step -= (step @ v[-1]) * v[-1]
+        v.append(0.805 * v[-1] + np.sqrt(1 - 0.805**2) * step / np.linalg.norm(step))
+    return np.array(v)
+
+
+@pytest.mark.parametrize("rows", [None, 50])
+def test_groups_of_bridges_and_chains(spark, rows):
+    v = np.vstack([bridged(), bridged(seed=7)[:, ::-1], chain(150), blobs(40, 40, 9)]).astype(np.float32)
+    v = v[np.random.default_rng(0).permutation(len(v))]
+    u = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    label = np.arange(len(v))
+    for i, j in zip(*np.nonzero(u @ u.T >= 0.8)):
+        a, b = sorted((label[i], label[j]))
+        label[label == b] = a
+    got = {r.vec_id: r.first_vec_id for r in clusters.grouped(table(spark, v), shard_rows=rows).collect()}
+    assert got == {i: int(label[i]) for i in range(len(v))}
