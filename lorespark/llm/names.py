@@ -1,9 +1,9 @@
 """Spellings of names that mean the same person or organisation.
 
 A string is read as a person (a given name, an initial, a shortened given name or a title, with a
-surname) or as an organisation (a name with words of its kind).  Surnames and organisations' names
-within one edit are found by partitioning their metric space, see `metric`.  A full name is an
-entity; a form that leaves something out belongs to an entity if it fits that one only.
+surname) or as an organisation (a name with words of its kind).  A first word that is no known given
+name is its own.  Surnames, organisations' names and such first words within one edit are found by
+partitioning their metric space, see `metric`.  A full name is an entity; a form that leaves something out belongs to an entity if it fits that one only.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ SAME_KIND = {
     "pub": "publishing", "publ": "publishing", "pract": "practice", "prac": "practice", "lib": "library", "eng": "engineering", "engrg": "engineering", "mun": "municipal", "munic": "municipal", "soft": "software", "dent": "dental", "orch": "orchestra", "rep": "repair", "bky": "bakery", "cpy": "company", "hse": "house",
 }
 LEGAL = frozenset("ltd limited inc incorporated llc gmbh ag co corp corporation plc e v ev kg and of the for".split())
+#: Letters of a name from which on one edit may be a slip.
+SLIP_LETTERS = 4
 _BY_NICK: dict[str, frozenset[str]] = {}
 for _formal, _short in NICKNAMES.items():
     for _nick in _short.split():
@@ -126,7 +128,7 @@ def read(name: str, lexicon: frozenset[str] = frozenset()) -> tuple[str, str, st
     comma = [p for p in text.split(",") if p.strip()]
     raw = [t for t in _TOKEN.findall("".join(c for c in unicodedata.normalize("NFKC", text) if unicodedata.category(c) != "Cf"))]
     words = [plain(t) for t in raw]
-    if not words or any(w.isdigit() for w in words) or len(words) > 8:
+    if not words or any(w.isdigit() for w in words):
         return None
     if len(raw) == 2 and _letters(raw[1]) and len(words[0]) >= 4 and not _given(words[0], lexicon):
         return "org", sound(words[0]), "acronym", ["".join(sorted(words[1]))]
@@ -140,11 +142,11 @@ def read(name: str, lexicon: frozenset[str] = frozenset()) -> tuple[str, str, st
         kinds = kinds if sum(map(bool, kinds)) >= 2 else [None] * len(body)
     if any(kinds):
         own = [w for k, (w, _) in zip(kinds, body) if not k]
-        if own and len(own) <= 2 and len("".join(own)) >= 4:
+        if len("".join(own)) >= 2:
             found = sorted({k for k in kinds if k})
             return "org", sound("".join(own)), "full" if len(found) > 1 else "part", [" ".join(found)]
         return None
-    return _person(words, raw, comma, lexicon)
+    return _person(words, raw, comma, lexicon, unknown=True)
 
 
 def _letters(word: str) -> bool:
@@ -152,7 +154,7 @@ def _letters(word: str) -> bool:
     return 2 <= len(word) <= 4 and word.isupper()
 
 
-def _person(words: list[str], raw: list[str], comma: list[str], lexicon: frozenset[str]) -> tuple[str, str, str, list[str]] | None:
+def _person(words: list[str], raw: list[str], comma: list[str], lexicon: frozenset[str], unknown: bool = False) -> tuple[str, str, str, list[str]] | None:
     titled = False
     if len(comma) == 2 and len(words) >= 2:  # the surname comes first
         behind = len(_TOKEN.findall(comma[1]))
@@ -162,7 +164,7 @@ def _person(words: list[str], raw: list[str], comma: list[str], lexicon: frozens
     if not words or words[0] == "the":
         return None
     if len(words) == 1:
-        return ("person", sound(words[0]), "title", []) if titled and len(words[0]) >= 4 and not _given(words[0], lexicon) else None
+        return ("person", sound(words[0]), "title", []) if titled and len(words[0]) >= 2 and not _given(words[0], lexicon) else None
     first, rest = words[0], words[1:]
     given = _given(first, lexicon)
     if not given and len(first) > 1:
@@ -172,7 +174,7 @@ def _person(words: list[str], raw: list[str], comma: list[str], lexicon: frozens
             first, rest, given = words[-1], words[:-1], last
     rest = [w for i, w in enumerate(rest) if len(w) > 1 or i == len(rest) - 1]  # middle initials
     surname = sound("".join(rest))
-    if len(surname) < 4 or any(w in LEGAL for w in rest if len(w) > 1):
+    if len(surname) < 2 or any(w in LEGAL for w in rest if len(w) > 1):
         return None
     if given:
         return "person", surname, "full" if len(given) == 1 else "some", list(given)
@@ -180,7 +182,7 @@ def _person(words: list[str], raw: list[str], comma: list[str], lexicon: frozens
         return "person", surname, "initial", [first]
     if len(first) <= 4 and any(g.startswith(first) for g in {*NICKNAMES, *lexicon}):
         return "person", surname, "initial", [first]
-    return None
+    return ("person", surname, "full", [first]) if unknown else None
 
 
 def all_names(extractions: DataFrame, edges: DataFrame) -> DataFrame:
@@ -189,22 +191,41 @@ def all_names(extractions: DataFrame, edges: DataFrame) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2]).filter("name is not null and name != ''").distinct()
 
 
-def given_names(names: DataFrame, least: int = 12, most: int = 2000) -> frozenset[str]:
-    """Words that come first in many two-word names with different second words, at most ``most``."""
-    two = names.select(F.regexp_extract("name", r"^(\p{Lu}\p{Ll}{3,}) \p{Lu}\p{Ll}{4,}$", 1).alias("first")).filter("first != ''")
-    rows = two.groupBy("first").agg(F.count("*").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "first").limit(most).collect()
-    return frozenset(w for w in (plain(r["first"]) for r in rows) if w not in KINDS and w not in LEGAL and w not in TITLES and w not in _BY_NICK)
-
-
-def _parsed(names: DataFrame, lexicon: frozenset[str]) -> DataFrame:
+def _parsed(names: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(n, *r) for n in batch.name if (r := read(n, lexicon))]
+            out = [(n, *r) for n in batch.name if (r := read(n))]
             yield pd.DataFrame(out, columns=["name", "kind", "key", "form", "fits"])
 
     return names.mapInPandas(run, "name string, kind string, key string, form string, fits array<string>")
 
 
+def _sound(column: str):
+    """As `sound`, of a column."""
+    out = F.col(column)
+    for pattern, plainer in _SOUND:
+        out = F.regexp_replace(out, pattern.pattern, plainer)
+    return out
+
+
+def _unknown_given(entities: DataFrame) -> DataFrame:
+    """(x, y): entities whose first word is no known given name that mean the same person.
+
+    With the same surname, one letter inside the first word differs, and one of the two words is
+    no one else's first word (else they are two names); or the words stand the other way round.
+    """
+    known = entities.sparkSession.createDataFrame([(n,) for n in NICKNAMES], "value string")
+    own = materialise(entities.filter("kind = 'person'").join(F.broadcast(known), "value", "left_anti"))
+    name = lambda key, value: F.concat_ws("|", F.lit("person"), key, value)
+    others = own.groupBy("value").agg(F.count("*").alias("n"))
+    close = pairs_within_one(own.filter(f"length(value) > {SLIP_LETTERS}").select("value").distinct(), "value").filter("left(a, 1) = left(b, 1) and right(a, 1) = right(b, 1)")
+    rare = close.join(others.select(F.col("value").alias("a"), F.col("n").alias("na")), "a").join(others.select(F.col("value").alias("b"), F.col("n").alias("nb")), "b").filter("na = 1 or nb = 1").select("a", "b")
+    slips = own.select("key", F.col("value").alias("a")).join(rare, "a").join(own.select("key", F.col("value").alias("b")), ["key", "b"]).select(name("key", "a").alias("x"), name("key", "b").alias("y"))
+    heard = own.withColumn("sound", _sound("value"))
+    turned = heard.select(F.col("key").alias("k"), F.col("value").alias("v"), F.col("sound").alias("key"), F.col("key").alias("sound")).join(heard, ["key", "sound"])
+    return slips.union(turned.select(name("k", "v").alias("x"), name("key", "value").alias("y")))
+
+
 def linked(names: DataFrame) -> DataFrame:
     """(name, entity): strings of a column ``name`` that mean a particular person or organisation.
 
@@ -212,16 +233,17 @@ def linked(names: DataFrame) -> DataFrame:
     fit several entities have no rows.  Repeated strings count once; an empty table gives no rows.
     """
     distinct = names.filter("name is not null").select("name").distinct()
-    parsed = materialise(_parsed(distinct, given_names(distinct)))
+    parsed = materialise(_parsed(distinct))
     entity = F.concat_ws("|", "kind", "key", "value")
     full = parsed.filter("form = 'full'").select("name", "kind", "key", F.col("fits")[0].alias("value"))
     entities = materialise(full.select("kind", "key", "value").distinct())
-    pairs = materialise(pairs_within_one(parsed.select("key").distinct(), "key"))
+    # In a name of three letters one edit makes another name.
+    pairs = materialise(pairs_within_one(parsed.filter(f"length(key) >= {SLIP_LETTERS}").select("key").distinct(), "key"))
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     # The same given name, or kind, with surnames one edit apart.
     other = entities.select("kind", F.col("key").alias("b"), "value")
     slips = entities.withColumnRenamed("key", "a").join(pairs, "a").join(other, ["kind", "b", "value"]).select(F.concat_ws("|", "kind", "a", "value").alias("x"), F.concat_ws("|", "kind", "b", "value").alias("y"))
-    joined = connected_components(slips, "x", "y").select(F.col("node").alias("entity"), "component")
+    joined = connected_components(slips.union(_unknown_given(entities)), "x", "y").select(F.col("node").alias("entity"), "component")
     # Forms that leave something out: with their own surname, else with one an edit away.
     loose = parsed.filter("form != 'full'").select("name", "kind", "key", "form", "fits")
     same = loose.join(entities.withColumn("own", F.lit(True)), ["kind", "key"])

@@ -242,3 +242,17 @@ def test_near_words_by_keys_are_those_of_all_pairs(monkeypatch):
             want = linkage.matched(x, y)
             monkeypatch.setattr(linkage, "FEW", 0)
             assert linkage.matched(x, y) == want, size
+
+
+def test_names_that_no_table_holds(spark):
+    groups = [
+        ["Zbigniew Kowalski", "Zbigniew Kowalsky", "zbigniew kowalski", "Zbigneiw Kowalski", "Kowalski Zbigniew", "Kowalski, Zbigniew", "Z. Kowalski"],
+        ["Anna Lee", "anna lee", "Lee, Anna"],
+        ["Joachim Lea"],
+        ["Zbigniew Nowak", "Zbigniew  Nowak"],
+        ["Thaddaeus Maria Otto Karl Emil Fritz Hugo Paul Graf Eulenstein", "THADDAEUS MARIA OTTO KARL EMIL FRITZ HUGO PAUL GRAF EULENSTEIN"],
+        ["Bronislaw Nowak"],
+    ]
+    df = spark.createDataFrame([(n,) for g in groups for n in g], "name string")
+    got = {(r.name_a, r.name_b) for r in names.name_pairs(names.linked(df)).collect()}
+    assert got == {(a, b) for g in groups for a in g for b in g if a < b}
