@@ -266,6 +266,14 @@ def product_search(codes: DataFrame, books: list[np.ndarray], queries: DataFrame
     return ranked(codes.mapInPandas(run, f"qid bigint, id {kind}, score double"), k)
 
 
+def product_two_stage(vectors: DataFrame, queries: DataFrame, k: int, refine: int, parts: int, levels: int = 256, id_col: str = "vec_id", v_col: str = "embedding") -> DataFrame:
+    """(qid, id, score, rank): the ``refine`` best by product codes, ranked again by their true product."""
+    codes, books = product_codes(vectors, parts, levels, id_col, v_col)
+    coarse = product_search(codes, books, queries, refine).select("qid", "id")
+    fine = coarse.join(vectors.select(F.col(id_col).alias("id"), v_col), "id").join(queries, "qid").select("qid", "id", F.round(dot(F.col("q"), F.col(v_col)), 6).alias("score"))
+    return ranked(fine, k)
+
+
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     """One row ``recall``: the mean share of each query's true neighbours that was found."""
     hits = truth.select("qid", "id").join(found.select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left")

@@ -43,11 +43,10 @@ def codecs(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", v_col: str =
     dim = vectors.select(F.size(v_col)).first()[0]
     ranges = search.dimension_range(vectors, v_col)
     int8 = search.int8_codes(vectors, ranges, id_col, v_col).select(F.col("id").alias(id_col), search.decoded(F.col("codes"), ranges).alias(v_col))
-    codes, books = search.product_codes(vectors, max(1, dim // 4), 64, id_col, v_col)
     found = {
         "float": (truth, 4.0 * dim),
         "int8": (search.exact_nearest(int8, queries, k, id_col, v_col), float(dim)),
-        "product": (search.product_search(codes, books, queries, k), dim / 4.0),
+        "product": (search.product_two_stage(vectors, queries, k, 20 * k, max(1, dim // 4), 256, id_col, v_col), dim / 4.0),
         "sign_two_stage": (search.two_stage(vectors, queries, k, 20 * k, id_col, v_col), dim / 8.0 + 4),
     }
     parts = [search.recall(f, truth).select(F.lit(name).alias("codec"), F.round("recall", 6).alias("recall"), F.lit(size).alias("bytes_per_vector")) for name, (f, size) in found.items()]

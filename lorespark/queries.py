@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -438,16 +439,15 @@ def ivf_knn(spark, sf):
 @query
 def product_knn(spark, sf):
     v = _vectors(spark, sf)
-    codes, books = search.product_codes(v, 16, 64)
-    return search.product_search(codes, books, search.queries_of(v), K)
+    return search.product_two_stage(v, search.queries_of(v), K, 20 * K, 16)
 
 
 @query
 def ann_recall(spark, sf):
-    """Recall of the two-stage search and of lists."""
+    """Recall of the searches that are not exact."""
     truth = materialise(exact_knn(spark, sf))
-    parts = [search.recall(f(spark, sf), truth).select(F.lit(name).alias("system"), F.round("recall", 6).alias("recall")) for name, f in (("two_stage", two_stage_knn), ("lists", ivf_knn))]
-    return parts[0].unionByName(parts[1])
+    parts = [search.recall(f(spark, sf), truth).select(F.lit(name).alias("system"), F.round("recall", 6).alias("recall")) for name, f in (("two_stage", two_stage_knn), ("lists", ivf_knn), ("product", product_knn), ("int8", int8_knn))]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query

@@ -284,3 +284,11 @@ def test_scheduler(spark, tmp_path):
     assert scheduler.Scheduler.load(str(tmp_path / "jobs")).pending == 2
     with pytest.raises(RuntimeError):
         scheduler.Scheduler(restored=False).submit(scheduler.Job("x", 1, 5))
+
+
+def test_product_codes_ranked_again_find_the_nearest(spark):
+    v = blobs(600)
+    df = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    asked = search.queries_of(df)
+    exact = search.exact_nearest(df, asked, 5)
+    assert search.recall(search.product_two_stage(df, asked, 5, 100, 16), exact).first().recall >= 0.9
