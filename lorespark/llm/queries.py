@@ -72,21 +72,22 @@ def p6_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequency.string_terms(table(spark, sf_dir, "extractions"))
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distinctive.scores(distinctive.word_counts(table(spark, sf_dir, "entries"), "id", "text", "entry_id"))
+def _cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    asked = distinctive.question_words(table(spark, sf_dir, "recall_queries"))
+    return distinctive.asked_cells(table(spark, sf_dir, "entries"), asked), asked
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = distinctive.question_words(table(spark, sf_dir, "recall_queries"))
-    return distinctive.found(_scored(spark, sf_dir), asked).select("query_id", "entry_id")
+    """Entries that hold all telling words of a question."""
+    return distinctive.found(*_cells(spark, sf_dir)).select("query_id", "entry_id")
 
 
 def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir)
+    return distinctive.scores(distinctive.word_counts(table(spark, sf_dir, "entries"), "id", "text", "entry_id"))
 
 
 def p7_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distinctive.search(_scored(spark, sf_dir), distinctive.question_words(table(spark, sf_dir, "recall_queries")))
+    return distinctive.search(*_cells(spark, sf_dir))
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,7 +62,7 @@ need as (select query_id, count(*) as need from asked where word in (select word
 select query_id, entry_id from asked join telling using (word) join need using (query_id)
 group by query_id, entry_id, need having count(*) = need""",
         "p7_search": f"""with {_SCORED}, {_ASKED},
-total as (select query_id, entry_id, round(sum(score), 4) as score from asked join scored using (word) where score > 0 group by all)
+total as (select query_id, entry_id, sum(round(score * 1000000)::bigint)::bigint / 1e6 as score from asked join scored using (word) where score > 0 group by all)
 select query_id, entry_id, score, rank from (
   select *, row_number() over (partition by query_id order by score desc, entry_id) as rank from total) where rank <= 10""",
     }

@@ -196,7 +196,7 @@ def test_residuals(spark):
 def test_found_needs_all_telling_words(spark):
     entries = spark.createDataFrame([(i, "plain words") for i in range(8)] + [(10, "zig zag plain"), (11, "zig"), (12, "zag")], "id long, text string")
     asked = spark.createDataFrame([(1, "where is ZIG zag plain"), (2, "plain"), (3, None), (4, "zag zag nowhere")], "id int, question string")
-    scored = distinctive.scores(distinctive.word_counts(entries, "id", "text", "entry_id"))
+    scored = distinctive.asked_cells(entries, distinctive.question_words(asked))
     found = distinctive.found(scored, distinctive.question_words(asked))
     assert rows(found, "query_id", "entry_id") == [(1, 10), (4, 10), (4, 12)]
     best = [r for r in distinctive.search(scored, distinctive.question_words(asked), 3).collect() if r.query_id == 1]
