@@ -159,15 +159,30 @@ def corpus(n, seed):
     return texts, np.array(labels)
 
 
+def fitted(texts, labels):
+    found = [abuse.instances(t) for t in texts]
+    flat, sizes = abuse.features([w for x in found for _, w in x])
+    return abuse.fit(flat, sizes, np.repeat(np.arange(len(texts)), [len(x) for x in found]), labels)
+
+
+def test_features_of_a_batch_are_those_of_each_sentence():
+    sentences = [["a"], ["the", "boundary", "the", "boundary"], ["one", "two", "three"], ["x", "y"]]
+    flat, sizes = abuse.features(sentences)
+    alone = [abuse.features([s])[0].tolist() for s in sentences]
+    assert [flat[e - n : e].tolist() for e, n in zip(np.cumsum(sizes), sizes)] == alone
+    assert [len(x) for x in alone] == [1, 2 + 4 + 2 + 2 + 2, 3 + 2 + 1 + 1, 3]
+    assert abuse.features([])[0].tolist() == []
+
+
 def test_held_out_accuracy_with_wrong_labels():
     texts, labels = corpus(600, 1)
     noisy = labels.copy()
     noisy[::25] = 1 - noisy[::25]
-    weights = abuse.fit(texts, noisy)
+    weights = fitted(texts, noisy)
     more, truth = corpus(300, 2)
-    got = np.array([abuse.score(t, weights)[0] >= abuse.THRESHOLD for t in more])
+    got = np.array([abuse.score([abuse.instances(t)], weights)[0][0] >= abuse.THRESHOLD for t in more])
     assert (got == (truth > 0.5)).mean() >= 0.97
-    total, worst, most = abuse.score("Paid 3 for bread and tea. you are a worthless zorp, 5. The 2 notes are on the shelf.", weights)
+    total, worst, most = abuse.score([abuse.instances("Paid 3 for bread and tea. you are a worthless zorp, 5. The 2 notes are on the shelf.")], weights)[0]
     assert "zorp" in worst and 0 < most <= total
 
 
