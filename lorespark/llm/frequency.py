@@ -1,10 +1,11 @@
 """How often each word, run of words or string occurs, and in how many records.
 
-Each task sorts the suffixes of its own records, as a suffix array of numbered terms.  All places
-of one n-gram lie side by side there, as an interval in which neighbours share a prefix of at least
-n terms; the interval's length is the n-gram's occurrences, and its length less the neighbours that
-lie in the same record is its number of records.  A record is whole within a task, so the counts of
-all tasks add up, and only one row for each distinct n-gram of a task is shuffled.
+Each task builds the suffix array of its own records, numbered terms that are sorted by prefix
+doubling to whatever depth tells them apart, with the number of terms that neighbours share.  All
+places of one n-gram lie side by side there, as an interval in which neighbours share at least n
+terms; the interval's length is the n-gram's occurrences, and its length less the neighbours that
+lie in the same record is its number of records.  No n-gram of a record lies in two tasks, so the
+counts of all tasks add up, and only one row for each distinct n-gram of a task is shuffled.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,49 +29,90 @@ def words(text: Column) -> Column:
     return F.transform(F.filter(runs, lambda w: F.octet_length(w) >= 2), F.lower)
 
 
-def suffix_intervals(terms: np.ndarray, record: np.ndarray, max_n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each n: n, a place of each distinct n-gram, its occurrences and its records.
+def suffix_array(terms: np.ndarray, record: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, shared): the suffixes of all records in order, of equal ones by record, and how many
+    terms each shares with the one before it.
 
-    ``terms`` are numbers, record by record; an n-gram never goes on into another record.
+    ``terms`` are numbers, record by record; a suffix ends with its record.  In each round the
+    suffixes that still tie are told apart by twice as many terms.
     """
     total = len(terms)
-    follow = np.full((max_n, total), -1, np.int64)  # the term n places on, -1 past the record's end
-    for n in range(max_n):
-        same = record[: total - n] == record[n:] if n else np.ones(total, bool)
-        follow[n, : total - n][same] = terms[n:][same]
-    order = np.lexsort((record, *follow[::-1]))
-    sorted_, owner = follow[:, order], record[order]
-    # The prefix that each suffix shares with the one before it.
+    place = np.arange(total)
+    ends = np.flatnonzero(np.r_[record[1:] != record[:-1], True]) if total else place
+    left = np.repeat(ends, np.diff(np.r_[-1, ends])) - place + 1
+    order = np.argsort(terms, kind="stable")
+    new = np.r_[True, terms[order][1:] != terms[order][:-1]][:total]
+    rank = np.empty(total, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, place, 0))
+    levels, reach = [rank.copy()], 1
+    while True:
+        alive = np.flatnonzero(np.bincount(rank, minlength=total)[rank] > 1)
+        if not len(alive):
+            break
+        further = np.where(left[alive] > reach, rank[np.minimum(alive + reach, total - 1)] + 1, 0)
+        again = np.lexsort((further, rank[alive]))
+        some, old, further = alive[again], rank[alive][again], further[again]
+        fresh = np.r_[True, old[1:] != old[:-1]]
+        parts = fresh | np.r_[True, further[1:] != further[:-1]]
+        if parts.sum() == fresh.sum():
+            break
+        at = np.arange(len(some))
+        rank[some] = old + np.maximum.accumulate(np.where(parts, at, 0)) - np.maximum.accumulate(np.where(fresh, at, 0))
+        reach *= 2
+        levels.append(rank.copy())
+    order = np.lexsort((record, rank))
     shared = np.zeros(total, np.int64)
-    alike = np.ones(max(total - 1, 0), bool)
-    for n in range(max_n):
-        alike &= (sorted_[n, 1:] == sorted_[n, :-1]) & (sorted_[n, 1:] >= 0)
-        shared[1:] += alike
-    for n in range(1, max_n + 1):
-        there = sorted_[n - 1] >= 0
-        interval = np.cumsum(shared < n)[there]
-        if not len(interval):
+    a, b = order[:-1].copy(), order[1:].copy()
+    for step, level in reversed(list(enumerate(levels))):  # level: ranks by the first 2 ** step terms
+        inside = shared[1:] < np.minimum(left[order[:-1]], left[order[1:]])
+        same = inside & (level[np.minimum(a, total - 1)] == level[np.minimum(b, total - 1)])
+        shared[1:] += np.where(same, 1 << step, 0)
+        a, b = a + (same << step), b + (same << step)
+    if total > 1:
+        shared[1:] = np.minimum(shared[1:], np.minimum(left[order[:-1]], left[order[1:]]))
+        whole = rank[order[:-1]] == rank[order[1:]]  # equal to their ends
+        shared[1:] = np.where(whole, left[order[1:]], shared[1:])
+    return order, shared
+
+
+def suffix_intervals(terms: np.ndarray, record: np.ndarray, max_n: int | None = None, times: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each n: n, a place of each distinct n-gram, its occurrences and its records.
+
+    Goes up to ``max_n`` or to the longest record.  ``times`` is how often each place counts, once
+    if it isn't given.
+    """
+    order, shared = suffix_array(terms, record)
+    owner = record[order]
+    ends = np.flatnonzero(np.r_[record[1:] != record[:-1], True]) if len(terms) else order
+    left = (np.repeat(ends, np.diff(np.r_[-1, ends])) - np.arange(len(terms)) + 1)[order]
+    n = 0
+    while max_n is None or n < max_n:
+        n += 1
+        there = left >= n
+        if not there.any():
             return
-        holder, place = owner[there], order[there]
-        if n < max_n:  # a record's places lie together only within the longest prefix
-            again = np.lexsort((holder, interval))
-            interval, holder, place = interval[again], holder[again], place[again]
+        # Suffixes that are too short stand before all that go on from them, so intervals stay whole.
+        interval, holder, place = np.cumsum(shared < n)[there], owner[there], order[there]
+        again = np.lexsort((holder, interval))  # a record's places side by side
+        interval, holder, place = interval[again], holder[again], place[again]
         first = np.flatnonzero(np.r_[True, interval[1:] != interval[:-1]])
         twice = np.r_[False, (interval[1:] == interval[:-1]) & (holder[1:] == holder[:-1])]
-        occurrences = np.diff(np.r_[first, len(interval)])
-        yield n, place[first], occurrences, occurrences - np.add.reduceat(twice.astype(np.int64), first)
+        length = np.diff(np.r_[first, len(interval)])
+        yield n, place[first], length if times is None else np.add.reduceat(times[place], first), length - np.add.reduceat(twice.astype(np.int64), first)
+
+
+def _grams(flat: np.ndarray, owner: np.ndarray, max_n: int, times: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+    codes, names = pd.factorize(flat)
+    for n, place, occurrences, held in suffix_intervals(codes.astype(np.int64), owner, max_n, times):
+        grams = names[codes[place]]
+        for k in range(1, n):
+            grams = grams + " " + names[codes[place + k]]
+        yield pd.DataFrame({"n": n, "term": grams, "occurrences": occurrences, "records": held})
 
 
 def _counts(max_n: int, block_terms: int):
     def of(records: list, sizes: list[int]) -> Iterator[pd.DataFrame]:
-        flat = np.concatenate(records)
-        codes, names = pd.factorize(flat)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        for n, place, occurrences, held in suffix_intervals(codes.astype(np.int64), owner, max_n):
-            grams = names[codes[place]]
-            for k in range(1, n):
-                grams = grams + " " + names[codes[place + k]]
-            yield pd.DataFrame({"n": n, "term": grams, "occurrences": occurrences, "records": held})
+        return _grams(np.concatenate(records), np.repeat(np.arange(len(sizes)), sizes), max_n)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         records, sizes, held = [], [], 0
@@ -114,21 +158,59 @@ def text_terms(entries: DataFrame, max_n: int = 1, text_col: str = "text") -> Da
     return mark(counts, _scalar(texts.agg(F.count("*").alias("x"))))
 
 
-def string_terms(extractions: DataFrame, id_col: str = "entry", array_col: str = "entities") -> DataFrame:
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, term, times) of each batch of (id, array), so that repeats within a batch are one row."""
+    for batch in batches:
+        terms, owner = pc.list_flatten(batch.column(1)), pc.list_parent_indices(batch.column(1))
+        rows = pa.table([batch.column(0).take(owner), terms], names=["id", "term"]).filter(pc.greater(pc.fill_null(pc.binary_length(terms), 0), 0))
+        counts = rows.group_by(["id", "term"]).aggregate([("term", "count")]).select(["id", "term", "term_count"]).rename_columns(["id", "term", "times"])
+        yield from counts.to_batches()
+
+
+def _record_counts(block_terms: int):
+    """As `_counts`, of rows (id, term, times) that come in order of id and term."""
+
+    def of(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        return _grams(rows.term.to_numpy(object), pd.factorize(rows.id)[0], 1, rows.times.to_numpy())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for batch in batches:
+            if size >= block_terms and len(batch):
+                last, head = held[-1].iloc[-1], 0
+                while head < len(batch) and batch.id.iloc[head] == last.id and batch.term.iloc[head] == last.term:
+                    head += 1  # a record's term goes on from the batch before
+                held.append(batch.iloc[:head])
+                if head < len(batch):
+                    yield from of(pd.concat(held))
+                    held, size = [], 0
+                    batch = batch.iloc[head:]
+                else:
+                    continue
+            if len(batch):
+                held.append(batch)
+                size += len(batch)
+        if held:
+            yield from of(pd.concat(held))
+
+    return run
+
+
+def string_terms(extractions: DataFrame, id_col: str = "entry", array_col: str = "entities", block_terms: int = BLOCK_TERMS) -> DataFrame:
     """(term, occurrences, records, mark) of the strings of arrays, exactly as stored.
 
-    All rows of one ``id_col`` are one record, in whatever task they lie: rows are first counted by
-    (record, string), with hot records pre-aggregated in place, and each such pair is one suffix of
-    its record.  Null and empty strings and rows without an id hold no terms; records are the
-    distinct ids.
+    All rows of one ``id_col`` are one record.  Repeats are taken together batch by batch where they
+    lie; then a record's places of one string come to one task, so a record of very many strings
+    is spread over tasks, and the suffix array of the task subtracts those places that are neighbours
+    in the same record.  Null and empty strings and rows without an id hold no terms; records are
+    the distinct ids.
     """
-    rows = extractions.filter(F.col(id_col).isNotNull())
-    pairs = rows.select(id_col, F.explode(array_col).alias("term")).filter("term != ''").groupBy(id_col, "term").agg(F.count("*").alias("again"))
-    # A pair lies in one task only, so the records that the tasks find for a string add up.
-    singles = ngram_counts(pairs.select(F.array("term").alias("terms")), "terms").select("term", "records")
-    sums = pairs.groupBy("term").agg(F.sum("again").alias("occurrences"))
-    counts = singles.join(sums, "term").select("term", "occurrences", "records")
-    return mark(counts, _scalar(rows.agg(F.countDistinct(id_col).alias("x"))))
+    rows = extractions.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(array_col).alias("terms"))
+    pairs = rows.filter("size(terms) > 0").mapInArrow(_pairs, f"id {dict(rows.dtypes)['id']}, term string, times bigint")
+    placed = pairs.repartition("id", "term").sortWithinPartitions("id", "term")
+    parts = placed.mapInPandas(_record_counts(block_terms), "n int, term string, occurrences bigint, records bigint")
+    counts = parts.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    return mark(counts, _scalar(rows.agg(F.countDistinct("id").alias("x"))))
 
 
 def _scalar(one_row: DataFrame) -> Column:

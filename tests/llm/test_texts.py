@@ -1,6 +1,8 @@
 import os
 import random
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,6 +183,28 @@ def test_strings_of_an_entry_count_once(spark):
     assert got == {"A": (4, 2), "a": (1, 1)}
 
 
+def test_suffix_intervals_of_every_length():
+    rng = np.random.default_rng(0)
+    for trial in range(60):
+        records = [rng.integers(0, 3, rng.integers(1, 12)).tolist() for _ in range(rng.integers(1, 8))]
+        records += records[: trial % 3]
+        terms, owner = np.concatenate(records), np.repeat(np.arange(len(records)), [len(r) for r in records])
+        want = {}
+        for r, x in enumerate(records):
+            for i in range(len(x)):
+                for n in range(1, len(x) - i + 1):
+                    want.setdefault(tuple(x[i : i + n]), []).append(r)
+        got = {tuple(terms[p : p + n].tolist()): (o, h) for n, places, occurrences, held in frequency.suffix_intervals(terms, owner) for p, o, h in zip(places, occurrences, held)}
+        assert got == {k: (len(v), len(set(v))) for k, v in want.items()}
+
+
+def test_strings_of_a_record_in_many_rows(spark):
+    log = spark.createDataFrame([(1, ["a", "a", "b"])] * 40 + [(2, ["b", None, ""]), (None, ["a"]), (3, None), (4, [])], "entry long, entities array<string>").repartition(6)
+    got = {r.term: (r.occurrences, r.records, r.mark) for r in frequency.string_terms(log, block_terms=1).collect()}
+    assert got == {"a": (80, 1, "rare"), "b": (41, 2, "rare")}
+    assert frequency.string_terms(log.limit(0)).count() == 0
+
+
 # Distinctive words
 
 
