@@ -17,7 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, LEAF, TRIES, RADIUS = 4096, 192, 6, 1
+#: Strings that the tree is planned on; strings of a leaf; pivots tried for a split; edits; strings
+#: that a task places or compares, about.
+SAMPLE, LEAF, TRIES, RADIUS, TASK = 4096, 192, 6, 1, 4096
 
 
 def codes(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -136,6 +138,39 @@ def within_one(a: list[str], b: list[str]) -> Iterator[tuple[np.ndarray, np.ndar
         yield at + i, j
 
 
+def _one_edit(a: str, b: str) -> bool:
+    """Whether the distance of two different strings is 1."""
+    i, end = 0, min(len(a), len(b))
+    while i < end and a[i] == b[i]:
+        i += 1
+    a, b = a[i:], b[i:]
+    return a[1:] == b[1:] or a == b[1:] or a[1:] == b or (len(a) > 1 and a[:2] == b[1::-1] and a[2:] == b[2:])
+
+
+def _by_deletions(homes: list[str], every: list[str]) -> Iterator[tuple[str, str]]:
+    """The pairs by keys that two strings one edit apart share: each whole, or without one letter."""
+    keys = lambda s: {s, *(s[:i] + s[i + 1 :] for i in range(len(s)))}
+    held: dict[str, list[str]] = {}
+    for s in every:
+        for key in keys(s):
+            held.setdefault(key, []).append(s)
+    for a in homes:
+        yield from ((a, b) for b in sorted({b for key in keys(a) for b in held.get(key, ())}) if b != a and _one_edit(a, b))
+
+
+def leaf_pairs(homes: list[str], every: list[str], leaf: int = LEAF) -> Iterator[tuple[str, str]]:
+    """(a, b): strings at home in a leaf and those that came there at distance 1.
+
+    All are compared with all in a leaf of the planned size.  In one that holds far more, as where
+    the sample was too small or no pivot splits the strings, only those that share a key are.
+    """
+    if len(every) > 8 * leaf:
+        yield from _by_deletions(homes, every)
+    elif homes:
+        for i, j in within_one(homes, every):
+            yield from ((homes[x], every[y]) for x, y in zip(i, j))
+
+
 def pairs_within_one(strings: DataFrame, column: str, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
     """(a, b) with a < b: each pair of different strings of the column one edit apart, once.
 
@@ -154,9 +189,10 @@ def pairs_within_one(strings: DataFrame, column: str, sample: int = SAMPLE, leaf
                     yield pd.DataFrame({"leaf": number, "key": part.to_numpy()[rows], "home": home})
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
-        homes, every = sorted(rows.key[rows.home]), sorted(rows.key)
-        out = [(homes[x], every[y]) for i, j in (within_one(homes, every) if homes else ()) for x, y in zip(i, j)]
         # A pair is found at the home of either; it comes out at the home of the first.
-        return pd.DataFrame([p for p in out if p[0] < p[1]], columns=["a", "b"], dtype=object)
+        out = [p for p in leaf_pairs(sorted(rows.key[rows.home]), sorted(rows.key), leaf) if p[0] < p[1]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype=object)
 
-    return keys.mapInPandas(spread, "leaf int, key string, home boolean").groupBy("leaf").applyInPandas(join, "a string, b string")
+    parts = -(-total // TASK) or 1
+    placed = keys.repartition(parts, "key").mapInPandas(spread, "leaf int, key string, home boolean")
+    return placed.repartition(parts, "leaf").groupBy("leaf").applyInPandas(join, "a string, b string")

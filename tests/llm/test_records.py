@@ -50,6 +50,17 @@ def test_pairs_within_one_are_complete(spark):
     assert metric.pairs_within_one(df.limit(0), "w").count() == 0
 
 
+def test_overfull_leaves_are_split_again():
+    pick = random.Random(4)
+    words = sorted({"".join(pick.choice("abcde") for _ in range(pick.randint(3, 6))) for _ in range(700)})
+    homes = words[::2]
+    want = {(a, b) for a in homes for b in words if abs(len(a) - len(b)) < 2 and edits(a, b) == 1}
+    for leaf in (4, 20, 1000):
+        got = list(metric.leaf_pairs(homes, words, leaf))
+        assert len(got) == len(set(got)) and set(got) == want
+    assert set(metric._by_deletions(homes, words)) == want
+
+
 SAME = [
     ["Elizabeth Kratamekel", "Kratamekel, Elizabeth", "Kratamekel Elizabeth", "E. Kratamekel", "Liz Kratamekel", "elizabeth kratamekel", "ELIZABETH KRATAMEKEL", "Elizabeth  Kratamekel", "Elizabeth\xa0Kratamekel", "Elizabeth Kratamekle", "Elizabeht Kratamekel", "Elizabeth Q. Kratamekel", "Dr. Kratamekel", "Elizabeth Krátamekel", "Elizabeth Kratamekel (host)", "Elizabeth Kratamekel's", "ElizabethKratamekel", "Elizabeth Krata-mekel"],
     ["Wolfgang Golakaskan", "W. Golakaskan", "Golakaskan, W."],
@@ -72,6 +83,35 @@ def test_spellings_meet_and_others_do_not(spark):
     assert all(a.encode() < b.encode() for a, b in pairs)
 
 
+def test_short_forms_and_kinds_in_no_table_are_learned(spark):
+    pick = random.Random(7)
+    syllables = "ba be bo da do fi fo ga gu ka ki lo lu ma mi na no pa po ra ro sa si ta to va vo".split()
+    own = lambda: "".join(pick.choice(syllables) for _ in range(5)).capitalize()
+    given = [("Zbigniew", "Zbyszek"), ("Oluwaseun", "Seunfunmi"), ("Hiroyuki", "Yukkun"), ("Priyanka", "Pinky"), ("Bartholomaeus", "Mewes"), ("Xiomara", "Mara")]
+    kinds = ["Brauhaus", "Spedition", "Kulturverein", "Ferreteria"]
+    assert not {x.lower() for pair in given for x in pair} & {*names.NICKNAMES, *names._BY_NICK} and not {k.lower() for k in kinds} & names.KINDS
+    groups = []
+    for _ in range(120):
+        (formal, short), surname = pick.choice(given), own()
+        groups.append([f"{formal} {surname}", f"{surname}, {formal}", f"{formal[0]}. {surname}", *([f"{short} {surname}"] if pick.random() < 0.6 else [])])
+    for _ in range(60):
+        name, kind = own(), pick.choice(kinds)
+        groups.append([f"{name} {kind}", f"The {name} {kind}", f"{name} {kind} Ltd.", f"{name.upper()} {kind.upper()}"])
+    others = [f"{pick.choice(given)[0]} {g[0].split()[1]}" for g in groups[:20]]
+    others = [o for o, g in zip(others, groups) if o not in g]
+    df = spark.createDataFrame([(n,) for g in groups for n in g] + [(o,) for o in others], "name string")
+    want = {(a, b) for g in groups for a in g for b in g if a.encode() < b.encode()}
+    got = {tuple(r) for r in names.name_pairs(names.linked(df)).collect()}
+    assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.97 * len(got)
+    assert {k.lower() for k in kinds} <= names.learned_kinds(df)
+
+
+def test_any_name_is_read():
+    for text in ("Hiroshi Tanaka", "Priya Natarajan", "Oluwaseun Adeyemi", "Acme Insurance", "Acme Airlines", "Bergmann Consulting", "Анна Петрова", "Wei Li", "Robert Cox", "Dr Lee", "Studio 54", "Bergmann Gerüstbau GmbH"):
+        assert names.read(text), text
+    assert names.read("42") is None and names.read(" ") is None and names.read("The") is None
+
+
 def test_no_names(spark):
     empty = spark.createDataFrame([], "name string")
     assert names.name_pairs(names.linked(empty)).count() == 0
