@@ -27,7 +27,7 @@ def main(argv: list[str] | None = None) -> int:
             job.add_argument("-k", type=int, default=10)
     args = parser.parse_args(argv)
 
-    from lorespark.queries import QUERIES
+    from lorespark.registry import QUERIES
 
     if args.job == "list":
         print("\n".join(QUERIES))

@@ -52,3 +52,39 @@ def content_hash(*parts: Column) -> Column:
     """A hash of values that tells null from empty and one boundary from another."""
     told = [F.when(p.isNull(), F.lit("-")).otherwise(F.concat(F.octet_length(p.cast("string")).cast("string"), F.lit(":"), p.cast("string"))) for p in parts]
     return F.sha2(F.concat(*told), 256)
+
+
+def seconds(created: Column) -> Column:
+    """Seconds of a time that may be in milliseconds."""
+    return F.when(created >= 100_000_000_000, F.floor(created / 1000)).otherwise(created).cast("bigint")
+
+
+def date_seconds(iso: Column) -> Column:
+    """Seconds since 1970 of a date YYYY-MM-DD; null for anything else."""
+    return F.when(iso.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.unix_seconds(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd"))))
+
+
+def event_record(secs: Column, source: Column, text: Column) -> Column:
+    """The record of an event: its time in 8 bytes, the lowest first, its source in one, and its text."""
+    time = F.unhex(F.array_join(F.reverse(F.regexp_extract_all(F.lpad(F.hex(secs), 16, "0"), F.lit("(..)"))), ""))
+    return F.concat(time, F.unhex(F.lpad(F.hex(source), 2, "0")), F.encode(text, "utf-8"))
+
+
+def record_fields(record: Column) -> tuple[Column, Column, Column]:
+    """(time, source, text) of a record; null if it is too short."""
+    whole = F.octet_length(record) >= 9
+    turned = F.array_join(F.reverse(F.regexp_extract_all(F.hex(F.substring(record, 1, 8)), F.lit("(..)"))), "")
+    time = F.conv(turned, 16, -10).cast("bigint")
+    text = F.decode(F.substring(record, 10, (1 << 31) - 1), "utf-8")
+    return F.when(whole, time), F.when(whole, F.conv(F.hex(F.substring(record, 9, 1)), 16, 10).cast("int")), F.when(whole, text)
+
+
+def extraction_of(raw: Column) -> Column:
+    """The object (entities, facts) in what a model wrote, with or without fences around it."""
+    body = F.regexp_extract(raw, r"(?s)(\{.*\})", 1)
+    return F.from_json(body, "entities array<string>, facts array<array<string>>")
+
+
+def safe_id(text: Column) -> Column:
+    """An id fit for a file's name: letters, digits, ``_`` and ``-`` of it, others as ``_``."""
+    return F.regexp_replace(text, r"[^\p{L}\p{N}_-]", "_")

@@ -82,20 +82,20 @@ def day_series(mentions: DataFrame) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy("entity").orderBy("day", "entry")) - 1)
 
 
-def lag_counts(mentions: DataFrame, max_lag: int = MAX_LAG, tolerance: int = TOLERANCE) -> DataFrame:
+def lag_counts(mentions: DataFrame, max_lag: int = MAX_LAG, tolerance: int = TOLERANCE, splits: int = 16) -> DataFrame:
     """(a, b, lag, selected, held_out): of a's mentions those with one of b about ``lag`` days on.
 
-    Odd mentions of a select the lag, even ones test it.  The days of b are joined by blocks, and
-    each pair of mentions gives the short range of lags that it supports.
+    Odd mentions of a select the lag, even ones test it.  The days of b are joined by blocks, each in
+    ``splits`` parts by a hash of b, and each pair of mentions gives the short range of lags that it supports.
     """
     series = day_series(mentions)
     often = series.groupBy("entity").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_MENTIONS).select("entity")
     series = series.join(often, "entity", "left_semi")
     width = max_lag + tolerance + 1
-    left = series.select(F.col("entity").alias("a"), "nth", "day").withColumn("block", F.explode(F.array(F.floor(F.col("day") / width), F.floor(F.col("day") / width) + 1)))
-    right = series.select(F.col("entity").alias("b"), F.col("day").alias("other")).distinct().withColumn("block", F.floor(F.col("other") / width))
+    left = series.select(F.col("entity").alias("a"), "nth", "day").withColumn("block", F.explode(F.array(F.floor(F.col("day") / width), F.floor(F.col("day") / width) + 1))).withColumn("part", F.explode(F.array(*map(F.lit, range(splits)))))
+    right = series.select(F.col("entity").alias("b"), F.col("day").alias("other")).distinct().withColumn("block", F.floor(F.col("other") / width)).withColumn("part", F.pmod(F.xxhash64("b"), F.lit(splits)).cast("int"))
     gap = F.col("other") - F.col("day")
-    pairs = left.join(right, "block").filter((F.col("a") != F.col("b")) & (gap >= 0) & (gap <= max_lag + tolerance))
+    pairs = left.join(right, ["block", "part"]).filter((F.col("a") != F.col("b")) & (gap >= 0) & (gap <= max_lag + tolerance))
     # Lag 0 looks no days back.
     lags = F.explode(F.sequence(F.greatest(gap - tolerance, F.lit(0)), F.least(gap + tolerance, F.lit(max_lag))))
     hits = pairs.select("a", "b", "nth", lags.alias("lag")).distinct()
@@ -170,3 +170,73 @@ def reversals(praise: DataFrame, regret: DataFrame) -> DataFrame:
 def cited(narrations: DataFrame, candidates: DataFrame) -> DataFrame:
     """(id, text, citations) of narrations that cite something, and only evidence of their candidate."""
     return narrations.join(candidates.select("id", "evidence"), "id").filter((F.size("citations") > 0) & (F.size(F.array_except("citations", "evidence")) == 0)).select("id", "text", "citations")
+
+
+#: Kinds of findings by number (fixed values), and the false-discovery rate of each.
+KINDS = {"bridge": 1, "lead": 2, "reversal": 3}
+RATES = {"bridge": 0.05, "lead": 0.01, "reversal": 0.01}
+CANDIDATE = ["kind", "entity", "claim", "evidence", "support", "surprise", "effect", "p_value"]
+
+
+def bridge_candidates(mentions: DataFrame) -> DataFrame:
+    """Candidates from `structural_bridges`, with the entries that stand for the two clusters."""
+    found = structural_bridges(mentions)
+    rows = mentions.select("entity", "cluster", "entry").distinct().join(found.select("entity", "c1", "c2"), "entity").filter("cluster = c1 or cluster = c2")
+    held = rows.groupBy("entity").agg(F.array_sort(F.collect_set("entry")).alias("evidence"))
+    claim = F.format_string("%s stands both with %s and with %s, which few others do", "entity", "c1", "c2")
+    return found.join(held, "entity").select(F.lit("bridge").alias("kind"), "entity", claim.alias("claim"), "evidence", "support", "surprise", F.col("surprise").alias("effect"), "p_value")
+
+
+def lead_candidates(mentions: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:
+    """Candidates from `temporal_leads`, with the entries of each pair of mentions."""
+    found = temporal_leads(mentions, max_lag)
+    pairs = lead_evidence(found, mentions)
+    held = pairs.groupBy("a", "b").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("entry_a", "entry_b"))))).alias("evidence"))
+    claim = F.format_string("%s comes about %d days after %s", "b", "lag", "a")
+    return found.join(held, ["a", "b"]).select(F.lit("lead").alias("kind"), F.col("a").alias("entity"), claim.alias("claim"), "evidence", "support", F.col("effect").alias("surprise"), "effect", "p_value")
+
+
+def reversal_candidates(praise: DataFrame, regret: DataFrame) -> DataFrame:
+    """Candidates from `reversals`; nothing in them is left to chance."""
+    claim = F.format_string("%s was spoken well of on day %d and badly on day %d", "entity", "praised", "regretted")
+    one = F.lit(1.0)
+    return reversals(praise, regret).select(F.lit("reversal").alias("kind"), "entity", claim.alias("claim"), "evidence", F.lit(2).cast("bigint").alias("support"), one.alias("surprise"), one.alias("effect"), F.lit(0.0).alias("p_value"))
+
+
+def numbered(candidates: DataFrame) -> DataFrame:
+    """Adds ``id``: the number of the kind above a place within it, by entity and claim."""
+    from lorespark.operators.store import dense_ids
+
+    kind = F.create_map(*(x for k, n in KINDS.items() for x in (F.lit(k), F.lit(n).cast("bigint"))))
+    placed = dense_ids(candidates, ["kind", "entity", "claim"], "__nth")
+    first = placed.groupBy("kind").agg(F.min("__nth").alias("__first"))
+    return placed.join(F.broadcast(first), "kind").withColumn("id", F.shiftleft(kind[F.col("kind")], 56).bitwiseOR(F.col("__nth") - F.col("__first"))).drop("__nth", "__first")
+
+
+def discovered(candidates: DataFrame, rates: dict[str, float] | None = None, narrations: DataFrame | None = None) -> DataFrame:
+    """(id, kind, entity, text, citations, effect, p_value) of the findings that hold.
+
+    Each kind is validated for itself at its own rate.  A finding is told by its claim, or by a
+    narration (id, text, citations) of a log; one that cites nothing, or more than its evidence, is left out.
+    """
+    from lorespark.session import materialise
+
+    every = materialise(numbered(candidates))
+    parts = [validated(every.filter(F.col("kind") == k), q) for k, q in (rates or RATES).items()]
+    kept = parts[0]
+    for part in parts[1:]:
+        kept = kept.unionByName(part)
+    told = kept.select("id", F.col("claim").alias("text"), F.col("evidence").alias("citations"))
+    if narrations is not None:
+        told = told.join(narrations.select("id", F.col("text").alias("own"), F.col("citations").alias("cites")), "id", "left").select("id", F.coalesce("own", "text").alias("text"), F.coalesce("cites", "citations").alias("citations"))
+    return cited(told, kept).join(kept.select("id", "kind", "entity", "effect", "p_value"), "id").select("id", "kind", "entity", "text", "citations", "effect", "p_value")
+
+
+def finding_derivations(found: DataFrame, entries: DataFrame, method: int = 1, version: int = 1) -> DataFrame:
+    """(output, input, method_id, method_version): what a finding's text was derived from, by content.
+
+    The output is a hash of the text, the inputs those of the different texts cited.
+    """
+    cites = found.select(F.sha2("text", 256).alias("output"), F.explode("citations").alias("entry"))
+    hashed = entries.select(F.col("id").alias("entry"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("input"))
+    return cites.join(hashed, "entry").select("output", "input").distinct().select("output", "input", F.lit(method).alias("method_id"), F.lit(version).cast("bigint").alias("method_version"))

@@ -17,26 +17,37 @@ def stale_outputs(derivations: DataFrame, changed: DataFrame, methods: DataFrame
     current version; a method without one is unchanged.  Each round joins only what the round before
     added, so cycles end too.
     """
-    links = derivations.select("output", F.col("input").alias("item")).distinct()
-    front = changed.select("change", "item").distinct()
-    stale = None
+    links = materialise(derivations.select("output", F.col("input").alias("item")).distinct().repartition("item"))
+    front = materialise(changed.select("change", "item").distinct())
+    every, found = front.select("change").distinct(), []
     if methods is not None:
+        # What is outdated is stale after every change: one closure of its own, given to all at the end.
         old = derivations.join(methods, "method_id").filter("method_version != version").select(F.col("output").alias("item")).distinct()
-        stale = front.select("change").distinct().join(F.broadcast(old) if old.limit(10_001).count() <= 10_000 else old).distinct()
-    begun = front if stale is None else front.union(stale).distinct()
-    front, seen = begun, stale
+        always = _closure(links, old.select(F.lit(0).alias("change"), "item"), most_rounds, True)
+        found = [every.join(always.select("item"), how="cross")]
+    stale = _closure(links, front, most_rounds, False)
+    out = stale if not found else stale.unionByName(found[0]).distinct()
+    return out.select("change", F.col("item").alias("output"))
+
+
+def _closure(links: DataFrame, front: DataFrame, most_rounds: int, whole: bool) -> DataFrame:
+    """(change, item): what follows from ``front`` along links, with it if ``whole``; each round writes only what it adds."""
+    parts = [materialise(front)] if whole else []
     for _ in range(most_rounds):
         new = front.join(links, "item").select("change", F.col("output").alias("item")).distinct()
-        new = materialise(new if seen is None else new.join(seen, ["change", "item"], "left_anti"))
+        for part in parts:
+            new = new.join(part, ["change", "item"], "left_anti")
+        new = materialise(new)
         if new.isEmpty():
             break
-        seen = new if seen is None else materialise(seen.union(new))
+        parts.append(new)
         front = new
     else:
         raise RuntimeError(f"not settled in {most_rounds} rounds")
-    if seen is None:
-        return front.select("change", F.col("item").alias("output")).limit(0)
-    return seen.select("change", F.col("item").alias("output"))
+    out = parts[0] if parts else front.limit(0)
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("change", "item")
 
 
 def derivation_rows(derived: DataFrame, output: str, inputs: str, method_id: int, version: int) -> DataFrame:

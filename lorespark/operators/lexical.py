@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions.text import tokens
+from lorespark.session import materialise
 
 #: Weights of the ranking formula (fixed values).
 K1, B = 1.2, 0.75
+#: Different words of all queries up to which every task is sent them.
+ASKED_TERMS = 500_000
 
 
 def term_frequencies(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -42,16 +45,20 @@ def ranked(scores: DataFrame, k: int | None = None, by: str = "qid", score: str
 
 @dataclass
 class Bm25:
-    """Tables of an index: postings (id, term, tf), lengths (id, dl) and one row of statistics."""
+    """Tables of an index: postings (id, term, tf), lengths (id, dl) and one row of statistics.
+
+    With ``texts`` (id, text) a search makes only the postings it needs, from the texts.
+    """
 
     postings: DataFrame
     lengths: DataFrame
     stats: DataFrame
+    texts: DataFrame | None = None
 
     @classmethod
     def index(cls, docs: DataFrame, id_col: str = "id", text_col: str = "text") -> Bm25:
-        lengths = document_lengths(docs, id_col, text_col)
-        return cls(term_frequencies(docs, id_col, text_col), lengths, corpus_stats(lengths))
+        lengths = materialise(document_lengths(docs, id_col, text_col))
+        return cls(term_frequencies(docs, id_col, text_col), lengths, corpus_stats(lengths), docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
 
     def scores(self, queries: DataFrame, id_col: str = "id", text_col: str = "question") -> DataFrame:
         """(qid, id, score); a word that a query holds twice counts twice.
@@ -59,10 +66,19 @@ class Bm25:
         The words of the queries prune the postings before frequencies and lengths are joined.
         """
         asked = queries.select(F.col(id_col).alias("qid"), F.explode(tokens(F.col(text_col))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-        held = self.postings.join(asked.select("term").distinct(), "term", "left_semi")
+        asked = materialise(asked)
+        names = asked.select("term").distinct()
+        small = names.count() <= ASKED_TERMS
+        names = F.broadcast(names) if small else names
+        if self.texts is None:
+            held = self.postings.join(names, "term", "left_semi")
+        else:  # only asked words leave a task
+            held = self.texts.select("id", F.explode(tokens(F.col("text"))).alias("term")).join(names, "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"))
+        held = materialise(held)
         row = self.stats.first()  # one row
         n, avgdl = float(row.n_docs), max(float(row.avgdl), 1.0)
         df = document_frequencies(held)
+        df = F.broadcast(df) if small else df  # no more rows than words asked
         idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
         part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
         hits = held.join(df, "term").join(self.lengths, "id").join(asked, "term")

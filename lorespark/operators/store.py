@@ -67,3 +67,93 @@ def dense_ids(rows: DataFrame, order: list[str], name: str = "new_id", part_rows
     counts = placed.groupBy("__part").agg(F.count("*").alias("n"))  # one row for each partition
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("__part")) - F.col("n")).drop("n")
     return placed.join(F.broadcast(before), "__part").withColumn(name, F.col("before") + F.col("__place")).drop("__part", "__place", "before")
+
+
+def tail(rows: DataFrame, id_col: str, n: int) -> DataFrame:
+    """The rows of the last ``n`` different ids; only those ids are sorted, partly in each task."""
+    last = rows.select(id_col).filter(F.col(id_col).isNotNull()).distinct().orderBy(F.desc(id_col)).limit(n)
+    return rows.join(F.broadcast(last), id_col, "left_semi") if n <= 100_000 else rows.join(last, id_col, "left_semi")
+
+
+def surrogate_keys(rows: DataFrame, name_col: str, order: list[str]) -> DataFrame:
+    """(name, key): each different name numbered from 0 in the order in which it is first seen."""
+    first = rows.filter(F.col(name_col).isNotNull()).groupBy(F.col(name_col).alias("name")).agg(F.min(F.struct(*order)).alias("seen"))
+    return dense_ids(first, ["seen", "name"], "key").select("name", "key")
+
+
+def shuffled(rows: DataFrame, id_col: str, seed: int) -> DataFrame:
+    """Adds ``place``: a random order, the same for the same seed whatever the partitioning."""
+    return dense_ids(rows.withColumn("__draw", F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))), ["__draw", id_col], "place").drop("__draw")
+
+
+def strided(rows: DataFrame, order: list[str], target: int) -> DataFrame:
+    """Every n-th row in order, from the first, so that about and at most ``target`` come out."""
+    placed = dense_ids(rows, order, "place")
+    stride = max(1, placed.count() // max(1, target))
+    return placed.filter((F.col("place") % stride == 0) & (F.col("place") < stride * target)).drop("place")
+
+
+def parted(counts: DataFrame, total: int, by: str, weight: str) -> DataFrame:
+    """(by, share): a whole number of ``total`` for each row in proportion to its weight.
+
+    What rounding down leaves goes to the largest remainders, of equals to the first in order.
+    ``counts`` is a small table, a row for each part.
+    """
+    grand = counts.agg(F.sum(weight)).first()[0] or 1
+    exact = counts.select(by, (F.col(weight) * total / F.lit(grand)).alias("exact"), F.floor(F.col(weight) * total / F.lit(grand)).alias("whole"))
+    left = total - int(exact.agg(F.sum("whole")).first()[0] or 0)
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.round(F.col("exact") - F.col("whole"), 9)), by))
+    return exact.select(by, (F.col("whole") + (place <= left).cast("bigint")).alias("share"))
+
+
+def units_as_entries(units: DataFrame, events: DataFrame) -> DataFrame:
+    """(id, day, date, kind, text): one entry for each valid unit, dated by the time of its event."""
+    from lorespark.functions.text import seconds
+
+    when = events.select("event_id", F.to_date(F.timestamp_seconds(seconds(F.col("created_utc_secs")))).alias("on"), "source")
+    rows = unit_texts(units, events).join(when, "event_id", "left")
+    return rows.select(F.col("unit_id").alias("id"), F.datediff("on", F.lit("2018-01-01").cast("date")).alias("day"), F.date_format("on", "yyyy-MM-dd").alias("date"), F.col("source").alias("kind"), "text")
+
+
+def storage(units: DataFrame, events: DataFrame) -> DataFrame:
+    """One row: bytes of text, of records and of unit spans, their ratio and the index bytes of a unit.
+
+    A record has 9 bytes besides its text, a span 16.
+    """
+    e = events.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("text_bytes"), F.count("*").alias("n_events"))
+    u = units.agg(F.count("*").alias("n_units"))
+    spans = F.col("n_units") * 16
+    records = F.col("text_bytes") + F.col("n_events") * 9
+    return e.crossJoin(u).select("text_bytes", records.alias("record_bytes"), spans.alias("span_bytes"), F.round((records + spans) / F.greatest("text_bytes", F.lit(1)), 6).alias("overhead"), F.when(F.col("n_units") > 0, 16.0).otherwise(0.0).alias("unit_bytes"))
+
+
+def watermark(events: DataFrame, id_col: str = "event_id") -> DataFrame:
+    """One row: how many rows there are and the highest id, so that a reader can go on from there."""
+    return events.agg(F.count("*").alias("n"), F.max(id_col).alias("high"))
+
+
+def above(events: DataFrame, high: int, id_col: str = "event_id") -> DataFrame:
+    """The rows past a watermark; the bound is pushed to the scan, where row groups below it are skipped."""
+    return events.filter(F.col(id_col) > high)
+
+
+def merged_runs(runs: list[DataFrame], most: int = 8) -> list[DataFrame]:
+    """Runs (hash, event_id) with the first id of each hash; more than ``most`` become one."""
+    if len(runs) <= most:
+        return runs
+    both = runs[0]
+    for run in runs[1:]:
+        both = both.unionByName(run)
+    return [both.groupBy("hash").agg(F.min("event_id").alias("event_id"))]
+
+
+def expanded_texts(entries: DataFrame, log: DataFrame) -> DataFrame:
+    """(id, text): texts with the questions of a log (entry, line, questions) added, one a line.
+
+    The last line of an entry counts; questions are trimmed and blank ones left out.
+    """
+    last = last_wins(log.select("entry", "line", "questions"), ["entry"], ["line"])
+    kept = F.filter(F.transform("questions", F.trim), lambda q: q != "")
+    more = last.select(F.col("entry").alias("id"), F.array_join(kept, "\n").alias("more"))
+    text = F.when(F.coalesce("more", F.lit("")) == "", F.col("text")).otherwise(F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), F.col("more")))
+    return entries.select("id", "text").join(more, "id", "left").select("id", text.alias("text"))

@@ -7,10 +7,17 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.operators import graph, insight, lexical
+from lorespark.operators import graph, insight, lexical, relations
 from lorespark.session import materialise
 
-PARSE, METHOD, PARAMS = -32700, -32601, -32602
+PARSE, REQUEST, METHOD, PARAMS = -32700, -32600, -32601, -32602
+#: Arguments of each tool: name, JSON type, default (none if it must be given).
+TOOLS = {
+    "search": ("Entries that answer a question, best first.", {"query": ("string", None), "k": ("integer", 10)}),
+    "assemble_context": ("Cited entries for a question within a budget of tokens.", {"query": ("string", None), "token_budget": ("integer", 512)}),
+    "discover_insights": ("Findings that hold against chance, with what they cite.", {"q": ("number", 0.05)}),
+}
+_TYPES = {"string": str, "integer": int, "number": (int, float)}
 
 
 class Retrieval:
@@ -60,27 +67,47 @@ class Service:
     system: Retrieval
     mentions: DataFrame | None = None
 
-    tools = ("search", "assemble_context", "discover_insights")
-
     def handle(self, message: dict) -> dict | None:
         """The answer to a message; a notification has none."""
-        reply = {"jsonrpc": "2.0", "id": message.get("id")}
-        method = message.get("method")
-        if method == "initialize":
-            return reply | {"result": {"protocolVersion": "2024-11-05", "capabilities": {"tools": {}}, "serverInfo": {"name": "lorespark", "version": "1"}}}
-        if isinstance(method, str) and method.startswith("notifications/"):
+        if not isinstance(message, dict) or not isinstance(message.get("method"), str):
+            return {"jsonrpc": "2.0", "id": message.get("id") if isinstance(message, dict) else None, "error": {"code": REQUEST, "message": "no method"}}
+        reply, method = {"jsonrpc": "2.0", "id": message.get("id")}, message["method"]
+        if method.startswith("notifications/"):
             return None
+        params = message.get("params") if isinstance(message.get("params"), dict) else {}
+        if method == "initialize":
+            version = params.get("protocolVersion") or "2024-11-05"
+            return reply | {"result": {"protocolVersion": version, "capabilities": {"tools": {}}, "serverInfo": {"name": "lorespark", "version": "1"}}}
+        if method == "ping":
+            return reply | {"result": {}}
         if method == "tools/list":
-            return reply | {"result": {"tools": [{"name": t} for t in self.tools]}}
+            return reply | {"result": {"tools": [{"name": n, "description": about, "inputSchema": {"type": "object", "properties": {a: {"type": kind} for a, (kind, _) in takes.items()}, "required": [a for a, (_, default) in takes.items() if default is None]}} for n, (about, takes) in TOOLS.items()]}}
         if method != "tools/call":
             return reply | {"error": {"code": METHOD, "message": f"unknown method {method}"}}
-        params = message.get("params") or {}
-        name, arguments = params.get("name"), params.get("arguments") or {}
-        if name not in self.tools:
+        name, given = params.get("name"), params.get("arguments") or {}
+        if name not in TOOLS:
             return reply | {"error": {"code": PARAMS, "message": f"unknown tool {name}"}}
-        if name != "discover_insights" and not isinstance(arguments.get("query"), str):
-            return reply | {"error": {"code": PARAMS, "message": "the query is missing"}}
-        return reply | {"result": {"content": [{"type": "text", "text": getattr(self, name)(**arguments)}]}}
+        wrong = self._wrong(given, TOOLS[name][1])
+        if wrong:
+            return reply | {"error": {"code": PARAMS, "message": wrong}}
+        try:
+            text, failed = getattr(self, name)(**given), False
+        except Exception as error:  # a failing tool is no failing service
+            text, failed = f"{type(error).__name__}: {error}".splitlines()[0], True
+        return reply | {"result": {"content": [{"type": "text", "text": text}], "isError": failed}}
+
+    @staticmethod
+    def _wrong(given: dict, takes: dict) -> str | None:
+        """What is wrong with the arguments of a tool."""
+        if not isinstance(given, dict) or set(given) - set(takes):
+            return f"takes {', '.join(takes)}"
+        for name, (kind, default) in takes.items():
+            value = given.get(name, default)
+            if not isinstance(value, _TYPES[kind]) or isinstance(value, bool):
+                return f"{name} must be a {kind}"
+            if kind == "integer" and value < 1:
+                return f"{name} must be 1 or more"
+        return None
 
     def _asked(self, query: str) -> DataFrame:
         return self.entries.sparkSession.createDataFrame([(0, query)], "id int, question string")
@@ -89,16 +116,49 @@ class Service:
         rows = self.system.search(self._asked(query), k).join(self.entries, "id").orderBy("rank").collect()  # k rows
         return "\n".join(f"[{r.id}] {r.date}: {r.text}" for r in rows) or "No results."
 
-    def assemble_context(self, query: str, budget: int = 512) -> str:
+    def assemble_context(self, query: str, token_budget: int = 512) -> str:
         """The first entries of the ranking that fit the budget, each with its id."""
-        kept = graph.context_prefix(self.system.search(self._asked(query), 64), self.entries, budget)
+        kept = graph.context_prefix(self.system.search(self._asked(query), 64), self.entries, token_budget)
         rows = kept.join(self.entries, "id").orderBy("rank").collect()
         return "\n".join(f"[{r.id}] {r.date}: {r.text}" for r in rows) or "No results."
 
     def discover_insights(self, q: float = 0.05) -> str:
-        """Bridges between topics that pass the test, each with how surprising it is."""
+        """Findings that pass the test, each with what it cites."""
         if self.mentions is None:
             return "No results."
-        found = insight.structural_bridges(self.mentions).withColumn("id", F.col("entity"))
-        rows = insight.validated(found, q).orderBy(F.desc("surprise"), "id").limit(100).collect()  # a report
-        return "\n".join(f"{r.entity} links the otherwise-separate topics '{r.c1}' and '{r.c2}'" for r in rows) or "No results."
+        found = insight.discovered(insight.bridge_candidates(self.mentions), {"bridge": q})
+        rows = found.orderBy(F.desc("effect"), "id").limit(100).collect()  # a report
+        return "\n".join(f"{r.text} [{', '.join(map(str, r.citations))}]" for r in rows) or "No results."
+
+
+@dataclass
+class Relations(Retrieval):
+    """Words, fused with a walk over introductions and advice where a question asks for one."""
+
+    words: Lexical
+    edges: DataFrame
+    cues: tuple[str, ...] = ("introduc", "recommend", "told me")
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        intros, advice = relations.typed_facts(self.edges, self.words.entries)
+        names = self.edges.filter("rel in ('introduced', 'recommended')").select(F.explode(F.array("subj", "obj")).alias("phrase")).filter("phrase is not null").distinct()
+        asked = queries.filter(relations.relational(F.col("question"), list(self.cues))).select("id", F.col("question").alias("text"))
+        persons = graph.mentions(asked, names).select(F.col("entry").alias("qid"), F.trim("phrase").alias("person"))
+        return relations.fused(relations.relation_scores(persons, intros, advice), self.words.search(queries, max(5 * k, 50)), k)
+
+
+@dataclass
+class Facts(Retrieval):
+    """Mentions and facts of extractions, fused with words or alone."""
+
+    words: Lexical
+    edges: DataFrame
+    facts: DataFrame | None = None
+    alone: bool = False
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        n = self.words.entries.count()
+        asked = graph.mentions(queries.select("id", F.col("question").alias("text")), self.edges).withColumnRenamed("entry", "qid")
+        anchored = relations.anchors(asked, self.edges, n)
+        walk = relations.entity_walk(anchored, self.edges, n) if self.facts is None else relations.fact_walk(anchored, self.edges, self.facts, n)
+        return lexical.ranked(walk, k) if self.alone else relations.fused(walk, self.words.search(queries, max(5 * k, 50)), k)

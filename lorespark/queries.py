@@ -305,23 +305,29 @@ def _place_days(spark, sf):
 
 @query
 def lag_alignment(spark, sf):
-    return insight.lag_counts(_place_days(spark, sf), 10)
+    return insight.lag_counts(_place_days(spark, sf))
 
 
 @query
 def best_lag(spark, sf):
-    return insight.best_lags(insight.lag_counts(_place_days(spark, sf), 10))
+    return insight.best_lags(insight.lag_counts(_place_days(spark, sf)))
 
 
 @query
 def circular_shift_p(spark, sf):
-    return insight.temporal_leads(_place_days(spark, sf), 10, min_ratio=0.05)
+    return insight.temporal_leads(_place_days(spark, sf))
+
+
+@query
+def circular_shift_loose(spark, sf):
+    """The same for pairs of which fewer mentions need to be followed."""
+    return insight.temporal_leads(_place_days(spark, sf), min_ratio=0.05)
 
 
 @query
 def lead_evidence(spark, sf):
     rows = _place_days(spark, sf)
-    return insight.lead_evidence(insight.best_lags(insight.lag_counts(rows, 10)), rows)
+    return insight.lead_evidence(insight.best_lags(insight.lag_counts(rows)), rows)
 
 
 @query

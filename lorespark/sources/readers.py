@@ -124,19 +124,75 @@ def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True)
     return parsed.filter("__bad is null").drop("__bad")
 
 
-def raw_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:
-    """(vec_id, embedding) of files of little-endian float32 rows; ids follow the place in the file."""
+def _open(path: str):
+    """(file system, path) of a URI, also of one with a single slash after ``file:``."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path) if path.startswith("file:") else path if "://" in path else f"file://{path}")
+
+
+def raw_vectors(spark: SparkSession, path: str, dim: int, limit: int | None = None, rows_at_once: int = 65_536) -> DataFrame:
+    """(vec_id, embedding) of files of little-endian float32 rows, each read in ranges by many tasks.
+
+    Ids go on from file to file, in the order of their paths; the first ``limit`` rows if that is
+    given.  A file whose length is no whole number of rows is an error.
+    """
+    files = sorted((r.path, r.length) for r in spark.read.format("binaryFile").load(path).select("path", "length").collect())  # a row for each file
+    ranges, begin = [], 0
+    for name, length in files:
+        if length % (4 * dim):
+            raise ValueError(f"{length} bytes of {name} are no rows of {dim} numbers")
+        count = length // (4 * dim) if limit is None else min(length // (4 * dim), max(0, limit - begin))
+        ranges += [(name, at, min(rows_at_once, count - at), begin + at) for at in range(0, count, rows_at_once)]
+        begin += length // (4 * dim)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content in batch.content:
-                if len(content) % (4 * dim):
-                    raise ValueError(f"{len(content)} bytes are no rows of {dim} numbers")
-                v = np.frombuffer(content, "<f4").reshape(-1, dim)
-                for at in range(0, len(v), 4096):
-                    yield pd.DataFrame({"vec_id": np.arange(at, min(len(v), at + 4096)), "embedding": list(v[at : at + 4096])})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "vec_id bigint, embedding array<float>")
+            for name, at, count, first in batch.itertuples(index=False):
+                system, inner = _open(name)
+                with system.open_input_file(inner) as file:
+                    v = np.frombuffer(file.read_at(count * 4 * dim, at * 4 * dim), "<f4").reshape(-1, dim)
+                for i in range(0, count, 4096):
+                    yield pd.DataFrame({"vec_id": np.arange(first + i, first + min(count, i + 4096)), "embedding": list(v[i : i + 4096])})
+
+    told = spark.createDataFrame(ranges, "path string, at bigint, count bigint, first bigint").repartition(max(1, len(ranges)))
+    return told.mapInPandas(rows, "vec_id bigint, embedding array<float>")
+
+
+def write_raw_vectors(vectors: DataFrame, path: str, id_col: str = "vec_id", v_col: str = "embedding") -> int:
+    """Writes vectors as float32 rows in the order of their ids, a file for each range of ids.
+
+    Files are named by their first id, so a task that runs again writes the same file.  The number
+    of rows comes back.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, count = None, 0
+        for batch in batches:
+            if len(batch):
+                if out is None:
+                    system, inner = _open(path)
+                    system.create_dir(inner, recursive=True)
+                    out = system.open_output_stream(f"{inner}/rows-{int(batch.iloc[0, 0]):020d}.bin")
+                out.write(np.vstack(batch.iloc[:, 1].to_numpy()).astype("<f4").tobytes())
+                count += len(batch)
+        if out is not None:
+            out.close()
+        yield pd.DataFrame({"n": [count]})
+
+    ordered = vectors.select(id_col, v_col).repartitionByRange(id_col).sortWithinPartitions(id_col)
+    return ordered.mapInPandas(run, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
+def replayed_vectors(vectors: DataFrame, entries: DataFrame, dim: int, id_col: str = "id") -> DataFrame:
+    """(id, embedding): row i of a dump belongs to entry i in order of ids; any other number of rows is an error."""
+    from lorespark.operators.store import dense_ids
+
+    n, m = vectors.count(), entries.count()
+    if n != m:
+        raise ValueError(f"{n} vectors of {dim} numbers for {m} entries")
+    placed = dense_ids(entries.select(id_col), [id_col], "vec_id")
+    return placed.join(vectors, "vec_id").select(F.col(id_col).alias("id"), "embedding")
 
 
 def extraction_facts(log: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ _LAGS = f"""{_PLACES},
 ser as (select *, row_number() over (partition by entity order by day, entry) - 1 as nth from pd),
 ofn as (select entity from ser group by entity having count(*) >= 5),
 sr as (select * from ser where entity in (select entity from ofn)),
-lg as (select unnest(range(0, 11)) as lag),
+lg as (select unnest(range(0, 91)) as lag),
 hits as (select distinct a.entity as a, b.entity as b, a.nth, lag from sr a join sr b on a.entity <> b.entity join lg on b.day between a.day + greatest(lag - 1, 0) and a.day + lag + 1),
 counts as (select a, b, lag, sum(nth % 2)::bigint as selected, sum(1 - nth % 2)::bigint as held_out from hits group by all),
 best as (select a, b, lag, selected, held_out from (select *, row_number() over (partition by a, b order by selected desc, lag) as rn from counts where selected > 0) where rn = 1)"""
@@ -122,6 +122,12 @@ select g.name, coalesce((select w.name from g w where starts_with(w.name, g.name
     "lag_alignment": f"with {_LAGS} select * from counts",
     "best_lag": f"with {_LAGS} select * from best",
     "circular_shift_p": f"""with {_LAGS}, sz as (select entity, count(*) as n from ser group by entity), per as (select max(day) + 1 as p from pd),
+good as (select best.*, x.n as na, y.n as nb from best join sz x on a = x.entity join sz y on b = y.entity where selected + held_out >= 4 and selected + held_out >= x.n * 0.35e0 and held_out >= 2),
+sm as (select distinct entity as b, (day + o + p) % p as spot from ser, per, (select unnest([-1, 0, 1]) as o)),
+sh as (select a, b, held_out, (spot - day + p) % p as shift, count(*) as c from good join (select entity as a, day from ser where nth % 2 = 0) using (a) join sm using (b), per group by all),
+pv as (select a, b, round(sum((c >= held_out)::int)::double / (select p from per), 6) as p_value from sh group by a, b)
+select a, b, lag, selected + held_out as support, round((selected + held_out) / sqrt(na * nb), 6) as effect, p_value from good join pv using (a, b)""",
+    "circular_shift_loose": f"""with {_LAGS}, sz as (select entity, count(*) as n from ser group by entity), per as (select max(day) + 1 as p from pd),
 good as (select best.*, x.n as na, y.n as nb from best join sz x on a = x.entity join sz y on b = y.entity where selected + held_out >= 4 and selected + held_out >= x.n * 0.05e0 and held_out >= 2),
 sm as (select distinct entity as b, (day + o + p) % p as spot from ser, per, (select unnest([-1, 0, 1]) as o)),
 sh as (select a, b, held_out, (spot - day + p) % p as shift, count(*) as c from good join (select entity as a, day from ser where nth % 2 = 0) using (a) join sm using (b), per group by all),

@@ -6,8 +6,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from lorespark import queries as core
-from lorespark import sql
+from lorespark import registry
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -43,9 +42,9 @@ def compare(spark, duck, query, text):
 
 
 @needs_data
-@pytest.mark.parametrize("name", sorted(sql.SQL))
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query_equals_sql(spark, duck, name):
-    compare(spark, duck, core.QUERIES[name], sql.SQL[name])
+    compare(spark, duck, registry.QUERIES[name], registry.SQL[name])
 
 
 @needs_data
@@ -54,4 +53,4 @@ def test_entry_has_rows(spark):
 
 
 def test_every_sql_has_a_query():
-    assert set(sql.SQL) <= set(core.QUERIES)
+    assert set(registry.SQL) <= set(registry.QUERIES)
