@@ -218,16 +218,16 @@ def labelled(documents: DataFrame, labels: DataFrame, most: int = LABELLED) -> t
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            at = 0
+            rows = []
             for found in _some(batch.text):
-                for x in found:
-                    flat, sizes = features([w for _, w in x]) if x else (np.zeros(0, np.uint32), np.zeros(0))
-                    row = batch.iloc[at]
-                    at += 1
-                    yield pd.DataFrame({"doc_id": [row.doc_id], "label": [row.label], "flat": [flat.tobytes()], "sizes": [sizes.astype(np.int32).tobytes()]})
+                flat, sizes = features([w for x in found for _, w in x])
+                at = np.r_[0, np.cumsum([len(x) for x in found])]
+                ends = np.r_[0, np.cumsum(sizes)]
+                rows += [(flat[ends[i] : ends[j]].tobytes(), sizes[i:j].astype(np.int32).tobytes()) for i, j in zip(at, at[1:])]
+            yield batch[["doc_id", "label"]].assign(flat=[r[0] for r in rows], sizes=[r[1] for r in rows])
 
     kind = dict(documents.dtypes)["doc_id"]
-    texts = documents.select("doc_id", "text").filter("text is not null").join(some, "doc_id").select("doc_id", "label", "text")
+    texts = documents.select("doc_id", "text").filter("text is not null").join(F.broadcast(some), "doc_id").select("doc_id", "label", "text")
     rows = texts.mapInPandas(run, f"doc_id {kind}, label double, flat binary, sizes binary").toPandas().sort_values(["doc_id", "flat"], ignore_index=True)
     sizes = [np.frombuffer(x, np.int32) for x in rows.sizes]
     doc = np.repeat(np.arange(len(rows)), [len(x) for x in sizes])
