@@ -17,9 +17,11 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,8 @@ HOURS, SPAN = 48, 48 * 3600
 #: Numbers and words of a note that become blocking keys; the share of notes from which on a word
 #: is too common for that; pairs that the weights are learned from, at most.
 NUMBERS, WORDS, COMMON, LEARN_PAIRS = 6, 5, 0.02, 20_000
+#: Events of a step for each task that writes a month of it.
+MONTH_ROWS = 250_000
 #: Letters that look like others (fixed values: lower-case Cyrillic and Greek to Latin).
 _LOOK = str.maketrans("авекмнорстухіјѕһԁԛԝαεικνορτυχ", "abekmhopctyxijshdqwaeiknoptux")
 #: Words that people put in without meaning anything (fixed values).
@@ -40,13 +44,16 @@ FILLERS = frozenset("um uh er erm hmm mm well so like and also just basically ac
 MARKS = frozenset("fwd fw re note to self sent from my phone imported voice memo diary cut tbc draft copy via app reminder".split())
 _WORD = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+")
 _NUMBER = re.compile(r"[.,:/]")
+_UNSEEN = regex.compile(r"[\p{Mn}\p{Cf}]+")
 
 
 def fold(text: str) -> list[str]:
     """The words and numbers of a note without case, accents, unseen characters or look-alikes."""
-    text = unicodedata.normalize("NFKC", text).casefold()
-    text = "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) not in ("Mn", "Cf"))
-    return [_NUMBER.sub("", w) if w[0].isdigit() else w for w in _WORD.findall(text.translate(_LOOK))]
+    if text.isascii():
+        text = text.lower()
+    else:
+        text = _UNSEEN.sub("", unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text).casefold())).translate(_LOOK)
+    return [_NUMBER.sub("", w) if w[0].isdigit() else w for w in _WORD.findall(text)]
 
 
 def seconds(created):
@@ -66,6 +73,7 @@ def keys_of(words: list[str], common: frozenset[str]) -> list[int]:
     return out if len(out) >= 3 else sorted({*out, *low(different, 3)})
 
 
+@lru_cache(maxsize=200_000)
 def near(a: str, b: str) -> bool:
     """A slip of one or, in long words, two letters; or one a short form of the other."""
     if len(a) > len(b):
@@ -340,10 +348,10 @@ class Linker:
         least = max(3.0, COMMON * total.n) if total else 0.0
         return frozenset(r.word for r in counts.filter((F.col("word") != "") & (F.col("n") > least)).select("word").collect())
 
-    def accept(self, events: DataFrame, months: list[int] | None = None) -> None:
+    def accept(self, events: DataFrame, months: list[int] | None = None, rows: int | None = None) -> None:
         """Takes in the next batch; its events must have arrived after all accepted ones.
 
-        ``months`` are the numbers of the months it touches, if they are known.
+        ``months`` are the numbers of the months it touches and ``rows`` its events, if they are known.
         """
         if self.common is None:
             self.common = self._common_words(events)
@@ -355,14 +363,14 @@ class Linker:
             copies = every.join(several, ["canon", "span"]).filter("event_id != first").select("event_id", F.col("first").alias("rep")).distinct()
             new = every.join(copies, "event_id", "left_anti").dropDuplicates(["event_id"]).join(several.drop("first"), ["canon", "span"], "left")
             new = new.select(*every.columns, F.coalesce("low", "secs").alias("low"), F.coalesce("high", "secs").alias("high"), month_of(F.col("span")).alias("month"))
-            new.repartition("month").write.mode("append").partitionBy("month").parquet(f"{self.folder}/records")
+            # A month of very many notes is written by several tasks.
+            new.repartition("month", F.pmod(F.xxhash64("event_id"), F.lit(max(1, -(-(every.count() if rows is None else rows) // MONTH_ROWS))))).write.mode("append").partitionBy("month").parquet(f"{self.folder}/records")
             touched = months if months is not None else [r.month for r in new.select("month").distinct().collect()]
             self.batches += 1
             self.months |= set(touched)
             links = self._links(new, touched)
             links = links.persist()
-            rows = self._mapped(links).union(copies)
-            rows.coalesce(4).write.mode("append").parquet(f"{self.folder}/parents")
+            self._mapped(links).union(copies).write.mode("append").parquet(f"{self.folder}/parents")
         finally:
             every.unpersist()
             if links is not None:
@@ -452,7 +460,7 @@ def repeats(events: DataFrame, folder: str | None = None, share: float = 0.5) ->
         step.append(r)
         if sum(x.n for x in step) >= accepted * share or r is order[-1]:
             some = F.col("batch_id").isin([x.batch_id for x in step if x.batch_id is not None])
-            linker.accept(events.filter(some | F.col("batch_id").isNull() if any(x.batch_id is None for x in step) else some), sorted({m for x in step for m in x.months}))
+            linker.accept(events.filter(some | F.col("batch_id").isNull() if any(x.batch_id is None for x in step) else some), sorted({m for x in step for m in x.months}), sum(x.n for x in step))
             accepted, step = accepted + sum(x.n for x in step), []
     if not order:
         return spark.createDataFrame([], T.StructType([T.StructField("event_id", T.LongType()), T.StructField("dup_event_id", T.LongType())]))
