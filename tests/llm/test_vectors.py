@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -146,3 +148,20 @@ def test_groups_of_bridges_and_chains(spark, rows):
         label[label == b] = a
     got = {r.vec_id: r.first_vec_id for r in clusters.grouped(table(spark, v), shard_rows=rows).collect()}
     assert got == {i: int(label[i]) for i in range(len(v))}
+
+
+def test_centroids_take_little_memory(spark):
+    sample = blobs(40_000, 40)
+    tracemalloc.start()
+    centres = vectors.fit_centroids(sample, 1024, 1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert centres.shape == (1024, 64) and most < 60e6  # all likenesses at once are 164 MB and more
+
+
+@pytest.mark.parametrize("most", [50, 700])
+def test_sample_of_lowest_hashes(spark, most):
+    v = blobs(700, 14)
+    heads = vectors.classes(vectors.valid_vectors(table(spark, v))).heads
+    want = [r.vec for r in heads.orderBy(vectors.F.xxhash64("rep"), "rep").limit(most).collect()]
+    assert np.allclose(vectors.sampled(heads, most, 700), vectors.unit(want), atol=1e-6)
