@@ -165,3 +165,15 @@ def test_sample_of_lowest_hashes(spark, most):
     heads = vectors.classes(vectors.valid_vectors(table(spark, v))).heads
     want = [r.vec for r in heads.orderBy(vectors.F.xxhash64("rep"), "rep").limit(most).collect()]
     assert np.allclose(vectors.sampled(heads, most, 700), vectors.unit(want), atol=1e-6)
+
+
+def test_nearest_of_vectors_like_no_other(spark):
+    v = np.vstack([blobs(900, 3, 2, 0.04), np.random.default_rng(6).standard_normal((300, 64))]).astype(np.float32)
+    s, hits = cosines(v), 0
+    np.fill_diagonal(s, -9)
+    got = {}
+    for r in neighbours.nearest(table(spark, v), shard_rows=60).collect():  # a group is spread over two shards
+        got.setdefault(r.vec_id, set()).add(r.near_id)
+    for i in range(900):
+        hits += len(got[i] & set(np.lexsort((np.arange(len(v)), -s[i]))[:5].tolist()))
+    assert all(len(x) == 5 for x in got.values()) and len(got) == len(v) and hits == 5 * 900
