@@ -1,6 +1,7 @@
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from lorespark.llm import clusters, hnsw, neighbours, nndescent, vectors
@@ -177,3 +178,24 @@ def test_nearest_of_vectors_like_no_other(spark):
     for i in range(900):
         hits += len(got[i] & set(np.lexsort((np.arange(len(v)), -s[i]))[:5].tolist()))
     assert all(len(x) == 5 for x in got.values()) and len(got) == len(v) and hits == 5 * 900
+
+
+def test_balls_hold_their_members():
+    v = np.vstack([blobs(200, 5), [[1.0] + [0.0] * 63, [-1.0] + [0.0] * 63]]).astype(np.float64)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    root = np.r_[np.arange(200) % 40, 190, 190]  # the last two are opposite, so they have no centre
+    names, centre, angle, places = clusters._balls(v, root)
+    for name, c, most, some in zip(names, centre, angle, places):
+        assert (np.arccos(np.clip(v[root == name] @ c, -1, 1)) <= most).all() and (root[some] == name).all()
+
+
+def test_tight_groups_are_told_by_their_balls(spark):
+    v = np.vstack([blobs(600, 6), np.random.default_rng(8).standard_normal((60, 64))]).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    frames = [clusters.group_shard(pd.DataFrame({"rep": np.arange(i, len(v), 3), "vec": [x.tobytes() for x in v[i::3]]})) for i in range(3)]
+    rows = [tuple(x.item() if hasattr(x, "item") else x for x in r) for f in frames for r in f.astype(object).where(f.notna(), None).itertuples(index=False)]
+    parts = spark.createDataFrame(rows, "rep int, root int, community int, degree double, vec binary, centre binary, angle double, few binary")
+    balls = parts.filter("centre is not null").select("root", "centre", "angle", "few")
+    near = clusters._near_balls(parts, balls, 0.8, "int").distinct()
+    assert near.filter("vec is not null").count() == 0  # no vector is compared with members of a ball
+    assert near.count() == balls.count() * 2 == 36  # 6 groups in 3 shards, each with the other two
