@@ -194,8 +194,16 @@ def test_tight_groups_are_told_by_their_balls(spark):
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     frames = [clusters.group_shard(pd.DataFrame({"rep": np.arange(i, len(v), 3), "vec": [x.tobytes() for x in v[i::3]]})) for i in range(3)]
     rows = [tuple(x.item() if hasattr(x, "item") else x for x in r) for f in frames for r in f.astype(object).where(f.notna(), None).itertuples(index=False)]
-    parts = spark.createDataFrame(rows, "rep int, root int, community int, degree double, vec binary, centre binary, angle double, few binary")
+    parts = spark.createDataFrame(rows, "rep int, root int, community int, vec binary, centre binary, angle double, few binary")
     balls = parts.filter("centre is not null").select("root", "centre", "angle", "few")
     near = clusters._near_balls(parts, balls, 0.8, "int").distinct()
     assert near.filter("vec is not null").count() == 0  # no vector is compared with members of a ball
     assert near.count() == balls.count() * 2 == 36  # 6 groups in 3 shards, each with the other two
+
+
+def test_groups_and_typical_members_do_not_depend_on_shards(spark, points):
+    df, got = table(spark, points), []
+    for rows in (None, 120):
+        members = clusters.grouped(df, shard_rows=rows).cache()
+        got.append(({tuple(r) for r in members.drop("community").collect()}, sorted((r.first_vec_id, r.size, *r.typical) for r in clusters.described(members).collect())))
+    assert got[0] == got[1]
