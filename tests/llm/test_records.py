@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -311,3 +312,28 @@ def test_names_that_no_table_holds(spark):
     df = spark.createDataFrame([(n,) for g in groups for n in g], "name string")
     got = {(r.name_a, r.name_b) for r in names.name_pairs(names.linked(df)).collect()}
     assert got == {(a, b) for g in groups for a in g for b in g if a < b}
+
+
+def test_hopeless_pairs_are_not_matched_word_by_word(monkeypatch):
+    same = [f"common{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40)]
+    a = same + "velvet orchard lantern quarry meadow trumpet harvest pilgrim saddle compass".split() * 3
+    b = same + "granite whistle blanket chimney dolphin feather gallery horizon journey kingdom".split() * 3
+    assert not linkage.compare(a, b, 60.0)[1]
+    called = []
+    monkeypatch.setattr(linkage, "matched", lambda *x: called.append(x))
+    assert not linkage.compare(a, b, 60.0, whole=False)[1] and not called
+
+
+def test_unfinished_comparison_decides_alike():
+    rng = random.Random(4)
+    words = "velvet orchard lantern quarry meadow trumpet harvest pilgrim 17 2040 um so fwd note pkg package mtg meeting compass granite whistle".split()
+    slip = lambda w: w[:2] + rng.choice("abcdefgh") + w[3:] if len(w) > 4 and rng.random() < 0.3 else w
+    seen = Counter()
+    for _ in range(4000):
+        a = rng.choices(words, k=rng.randint(3, 40))
+        b = [slip(w) for w in a if rng.random() < 0.97] + rng.choices(words, k=rng.choice([0, 0, 1, 3]))
+        b = b or a
+        whole, short = linkage.compare(a, b, 60.0), linkage.compare(a, b, 60.0, whole=False)
+        assert whole[1] == short[1] and (not whole[1] or whole == short)
+        seen[whole[1]] += 1
+    assert min(seen[True], seen[False]) > 200
