@@ -166,6 +166,22 @@ def test_repeats_in_steps_or_batch_by_batch(spark, share):
     assert rows(linkage.repeats(events(spark), share=share)) == WANT
 
 
+def test_plans_of_a_step_stay_small(spark):
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def ids():
+        bus.waitUntilEmpty(30_000)
+        some = store.executionsList()
+        return [some.apply(i).executionId() for i in range(some.size())]
+
+    spark.range(1).collect()
+    last = max(ids())
+    assert rows(linkage.repeats(events(spark))) == WANT
+    sizes = [store.planGraph(i).allNodes().size() for i in ids() if i > last]
+    # The driver holds every plan anew each time a stage of it ends.
+    assert len(sizes) > 10 and max(sizes) <= 100
+
+
 def test_no_events(spark):
     assert linkage.repeats(events(spark).limit(0)).count() == 0
     assert linkage.repeats(events(spark).filter("event_id in (201, 202, 203)")).count() == 0
