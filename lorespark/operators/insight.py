@@ -188,12 +188,14 @@ def _shift_test(period: int):
 
 def lead_evidence(leads: DataFrame, mentions: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
     """(a, b, entry_a, entry_b): for each mention of a the first of b within the window of its lag."""
-    series = day_series(mentions)
+    series = materialise(day_series(mentions))
     a = series.select(F.col("entity").alias("a"), F.col("day").alias("da"), F.col("entry").alias("entry_a"))
-    b = series.select(F.col("entity").alias("b"), F.col("day").alias("db"), F.col("entry").alias("entry_b"))
+    first = series.groupBy(F.col("entity").alias("b"), F.col("day").alias("db")).agg(F.min("entry").alias("entry_b"))
     low, high = F.col("da") + F.greatest(F.col("lag") - tolerance, F.lit(0)), F.col("da") + F.col("lag") + tolerance
-    rows = leads.select("a", "b", "lag").join(a, "a").withColumn("db", F.explode(F.sequence(low, high))).join(b, ["b", "db"])
-    return rows.groupBy("a", "b", "entry_a").agg(F.min_by("entry_b", F.struct("db", "entry_b")).alias("entry_b"))
+    # What follows a day of a is looked up once for all mentions of that day.
+    days = leads.select("a", "b", "lag").distinct().join(a.select("a", "da").distinct(), "a").withColumn("db", F.explode(F.sequence(low, high))).join(first, ["b", "db"])
+    after = days.groupBy("a", "b", "da").agg(F.min_by("entry_b", F.struct("db", "entry_b")).alias("entry_b"))
+    return after.join(a, ["a", "da"]).select("a", "b", "entry_a", "entry_b")
 
 
 def reversals(praise: DataFrame, regret: DataFrame) -> DataFrame:

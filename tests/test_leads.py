@@ -39,3 +39,15 @@ def test_no_mentions_have_no_lags(spark):
     df, _ = crowded(spark)
     assert insight.lag_counts(df.filter("entity = 'few'"), 12).count() == 0
     assert insight.lag_counts(df.limit(0), 12).count() == 0
+
+
+def test_evidence_of_crowded_days_is_the_first_in_order(spark):
+    df, data = crowded(spark)
+    series, leads = by_day(data), [("e0", "e1", 0), ("e1", "e2", 4), ("few", "e3", 2)]
+    want = []
+    for a, b, lag in leads:
+        for day, entry in series[a]:
+            if later := [(x, e) for x, e in series[b] if day + max(lag - 1, 0) <= x <= day + lag + 1]:
+                want.append((a, b, entry, min(later)[1]))
+    found = insight.lead_evidence(spark.createDataFrame(leads, "a string, b string, lag int"), df)
+    assert sorted(map(tuple, found.collect())) == sorted(want)
