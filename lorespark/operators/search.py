@@ -15,6 +15,8 @@ from lorespark.operators.lexical import ranked
 
 #: Queries that are compared with all vectors in one pass; rows a codec or centroids are fitted on.
 QUERIES_AT_ONCE, SAMPLE = 4096, 65_536
+#: Vectors and queries whose products are in memory at a time.
+BLOCK_ROWS, BLOCK_QUERIES = 2048, 512
 
 
 def matrix(column: pd.Series) -> np.ndarray:
@@ -40,24 +42,60 @@ def exact_nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str =
     return ranked(out, k)
 
 
+class Best:
+    """The k best of each query so far.
+
+    Products are made in single precision, a bounded block at a time; those that may be among the
+    best, by more than its error, are made again in double precision.
+    """
+
+    def __init__(self, q: np.ndarray, k: int) -> None:
+        self.q, self.single, self.k, self.ids = q, q.astype(np.float32), k, None
+        self.scores, self.size = np.full((len(q), k), -np.inf), np.linalg.norm(q, axis=1)
+
+    def add(self, ids: np.ndarray, column: pd.Series) -> None:
+        if self.ids is None:
+            self.ids = np.zeros(self.scores.shape, ids.dtype)
+        for x in range(0, len(ids), BLOCK_ROWS):
+            v = matrix(column.iloc[x : x + BLOCK_ROWS])
+            told = ~np.isnan(v).any(axis=1)
+            v, own = v[told], ids[x : x + BLOCK_ROWS][told]
+            wide, most = v.astype(np.float64), float(np.linalg.norm(v, axis=1).max(initial=0))
+            slack = (v.shape[1] + 2) * 1.2e-7 * most * self.size + 2e-6
+            for y in range(0, len(self.q), BLOCK_QUERIES):
+                self._block(slice(y, y + BLOCK_QUERIES), own, v, wide, slack[y : y + BLOCK_QUERIES])
+
+    def _block(self, some: slice, ids: np.ndarray, v: np.ndarray, wide: np.ndarray, slack: np.ndarray) -> None:
+        near, least = self.single[some] @ v.T, self.scores[some, -1]
+        if len(ids) >= self.k and np.isneginf(least).any():
+            least = np.fmax(least, np.partition(near, len(ids) - self.k, axis=1)[:, len(ids) - self.k] - slack)
+        i, j = np.nonzero(near >= (least - slack)[:, None])
+        if not len(i):
+            return
+        score = np.concatenate([np.round(np.einsum("nd,nd->n", self.q[some][i[n : n + 8192]], wide[j[n : n + 8192]]), 6) for n in range(0, len(i), 8192)])
+        count = len(least)
+        query = np.concatenate([np.repeat(np.arange(count), self.k), i])
+        score, name = np.concatenate([self.scores[some].ravel(), score]), np.concatenate([self.ids[some].ravel(), ids[j]])
+        order = np.lexsort((name, -score, query))
+        query, score, name = query[order], score[order], name[order]
+        keep = np.arange(len(query)) - np.searchsorted(query, np.arange(count))[query] < self.k
+        self.scores[some], self.ids[some] = score[keep].reshape(count, -1), name[keep].reshape(count, -1)
+
+
 def _best_of_block(vectors: DataFrame, rows: pd.DataFrame, k: int) -> DataFrame:
     held = vectors.sparkSession.sparkContext.broadcast((rows.qid.tolist(), np.array([list(q) for q in rows.q], np.float64)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, q = held.value
-        best = pd.DataFrame({"qid": [], "id": [], "score": []})
+        best = Best(q, k) if names else None
         for batch in batches:
-            if not names or not len(batch):
-                continue
-            scores = np.round(q @ matrix(batch.iloc[:, 1]).astype(np.float64).T, 6)
-            ids = batch.iloc[:, 0].to_numpy()
-            some = min(k, len(ids))
-            bound = np.partition(scores, len(ids) - some, axis=1)[:, len(ids) - some]
-            i, j = np.nonzero(scores >= bound[:, None])
-            new = pd.DataFrame({"qid": np.asarray(names)[i], "id": ids[j], "score": scores[i, j]})
-            best = pd.concat([best, new]) if len(best) else new
-            best = best.sort_values(["qid", "score", "id"], ascending=[True, False, True]).groupby("qid").head(k)
-        yield best
+            if names and len(batch):
+                best.add(batch.iloc[:, 0].to_numpy(), batch.iloc[:, 1])
+        if best is None or best.ids is None:
+            yield pd.DataFrame({"qid": [], "id": [], "score": []})
+        else:
+            i, j = np.nonzero(best.scores > -np.inf)
+            yield pd.DataFrame({"qid": np.asarray(names)[i], "id": best.ids[i, j], "score": best.scores[i, j]})
 
     kind = dict(vectors.dtypes)[vectors.columns[0]]
     return vectors.mapInPandas(run, f"qid bigint, id {kind}, score double")
